@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, substring_dedup
+from . import license_scan, quality_classifier, substring_dedup, toxicity
 from .shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: list[Query] = [
     license_scan.op4_license_scan,
     substring_dedup.op5_substring_dedup,
+    quality_classifier.op6_quality_classifier,
+    toxicity.op8_toxicity,
 ]
 
 
