@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, quality_classifier, substring_dedup, toxicity
+from . import decontamination, license_scan, quality_classifier, substring_dedup, toxicity
 from .shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ _QUERIES: list[Query] = [
     substring_dedup.op5_substring_dedup,
     quality_classifier.op6_quality_classifier,
     toxicity.op8_toxicity,
+    decontamination.op9_benchmark_decontamination,
 ]
 
 
