@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, quality_classifier, substring_dedup, toxicity
+from . import decontamination, license_scan, ngram_join, quality_classifier, substring_dedup, toxicity
 from .shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ _QUERIES: list[Query] = [
     license_scan.op4_license_scan,
     substring_dedup.op5_substring_dedup,
     quality_classifier.op6_quality_classifier,
+    ngram_join.op7_ngram_join,
     toxicity.op8_toxicity,
     decontamination.op9_benchmark_decontamination,
 ]
