@@ -7,18 +7,31 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, ngram_join, quality_classifier, substring_dedup, toxicity
+from . import (
+    decontamination,
+    license_scan,
+    ngram_join,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    source_mixing,
+    substring_dedup,
+    toxicity,
+)
 from .shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: list[Query] = [
+    source_mixing.op1_source_mixing,
+    quality_rules.op2_quality_rules,
     license_scan.op4_license_scan,
     substring_dedup.op5_substring_dedup,
     quality_classifier.op6_quality_classifier,
     ngram_join.op7_ngram_join,
     toxicity.op8_toxicity,
     decontamination.op9_benchmark_decontamination,
+    secret_scan.op10_secret_scan,
 ]
 
 
@@ -36,4 +49,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_source_mixing": source_mixing.ORACLE_SQL}
