@@ -11,6 +11,7 @@ from . import (
     decontamination,
     license_scan,
     ngram_join,
+    pii,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -25,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: list[Query] = [
     source_mixing.op1_source_mixing,
     quality_rules.op2_quality_rules,
+    pii.op3_pii_surrogates,
     license_scan.op4_license_scan,
     substring_dedup.op5_substring_dedup,
     quality_classifier.op6_quality_classifier,

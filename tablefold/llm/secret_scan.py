@@ -121,10 +121,10 @@ def _redacted(text: Column, spans: Column, mark: str) -> Column:
 
 def redact_secrets(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of docs, with secrets in the texts replaced; n_chars, if there is one, follows."""
-    found = find_secrets(docs, scope).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
+    found = find_secrets(docs, scope).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_same")).agg(F.first("spans").alias("_spans"))
     keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    on = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["_hash"] == found["text_hash"])
-    both = keyed.join(found.withColumnRenamed("spans", "_spans"), on, "left")
+    on = keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_hash"] == found["_same"])
+    both = keyed.join(found, on, "left")
     text = F.when(F.col("_spans").isNull(), keyed["text"]).otherwise(_redacted(keyed["text"], F.col("_spans"), mark))
     columns = {c: keyed[c] for c in docs.columns} | {"text": text}
     if "n_chars" in columns:

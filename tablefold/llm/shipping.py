@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,10 +26,23 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written to the shared checkpoint folder, so that lost executors cost no recomputation."""
-    sc = df.sparkSession.sparkContext
+def _shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, in which drivers and executors see each other's files."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         # only a session without the cluster's spark.checkpoint.dir, such as a test, gets here
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written to the shared checkpoint folder, so that lost executors cost no recomputation."""
+    _shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written as Parquet beside the checkpoints and read again."""
+    path = f"{_shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
