@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textkit as tk
+
 
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the decimal text of doc_id, modulo n; null ids count as empty text."""
@@ -79,10 +81,8 @@ def features(sample: DataFrame, featurise: Featurise) -> DataFrame:
     """(order, y, ids, values) of the sampled rows."""
 
     def run(batches):
-        from . import textkit as tk
-
         for batch in tk.steps(batches, "text"):
-            ids, values = zip(*featurise(tk.column(batch, "text")))
+            ids, values = zip(*featurise(tk.column(batch, "text")))  # steps have a row at least
             count = np.array([len(x) for x in ids])
             yield pa.RecordBatch.from_arrays(
                 [tk.column(batch, "order"), tk.column(batch, "doc_id"), tk.column(batch, "y"), tk.lists(pa.array(np.concatenate(ids).astype(np.int32)), count), tk.lists(pa.array(np.concatenate(values).astype(np.float32)), count)],
@@ -103,4 +103,5 @@ def fit(featured: DataFrame, train: Callable[[list[tuple[np.ndarray, np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array([train(rows).astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
     one = featured.repartition(1).sortWithinPartitions("order", "doc_id").mapInArrow(run, "weights binary")
-    return np.frombuffer(one.first()["weights"], np.float32)
+    row = one.first()
+    return np.frombuffer(row["weights"], np.float32) if row else train([]).astype(np.float32)

@@ -205,21 +205,22 @@ def _rewritten(text: str | None, key: bytes, attempts: dict[tuple[str, str], int
 
 def replace_entities(docs: DataFrame, key: bytes, broadcast_rows: int = 100_000) -> DataFrame:
     """The rows of docs with entities in text replaced, and the columns n_entities and entity_spans."""
-    docs = docs.drop("n_entities", "entity_spans", "_attempts").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("n_entities", "entity_spans").withColumn("text", F.col("text").cast("string"))
     names = docs.columns
+    own_attempts = _free("attempts", names)
     moved = assign_surrogates(find_entities(docs), key)
     few = moved.limit(broadcast_rows + 1).count() <= broadcast_rows
     if few:
         sent = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["form"]): r["attempt"] for r in moved.collect()})
-        joined = docs.withColumn("_attempts", F.expr("cast(null as array<struct<kind:string,form:string,attempt:int>>)"))
+        joined = docs.withColumn(own_attempts, F.expr("cast(null as array<struct<kind:string,form:string,attempt:int>>)"))
     else:
         sent = docs.sparkSession.sparkContext.broadcast({})
-        joined = _with_attempts(docs, moved)
+        joined = _with_attempts(docs, moved, own_attempts)
 
     def run(batches):
         for batch in tk.steps(batches, "text"):
             rows = []
-            for text, own in zip(tk.column(batch, "text").to_pylist(), tk.column(batch, "_attempts").to_pylist()):
+            for text, own in zip(tk.column(batch, "text").to_pylist(), tk.column(batch, own_attempts).to_pylist()):
                 rows.append(_rewritten(text, key, {(a["kind"], a["form"]): a["attempt"] for a in own} if own else sent.value))
             texts, counts, spans = zip(*rows)
             columns = [pa.array(texts, pa.string()) if c == "text" else tk.column(batch, c) for c in names]
@@ -229,20 +230,28 @@ def replace_entities(docs: DataFrame, key: bytes, broadcast_rows: int = 100_000)
     return joined.mapInArrow(run, schema)
 
 
-def _with_attempts(docs: DataFrame, moved: DataFrame) -> DataFrame:
+def _free(name: str, taken: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    while name.lower() in (t.lower() for t in taken):
+        name += "_"
+    return name
+
+
+def _with_attempts(docs: DataFrame, moved: DataFrame, name: str) -> DataFrame:
     """docs with the entities of each text that have an attempt of their own, through a join by entity."""
 
     def run(batches):
         for batch in tk.steps(batches, "text"):
             texts = tk.column(batch, "text").to_pylist()
-            found = [(h, k, f) for t, h in zip(texts, tk.column(batch, "_hash").to_pylist()) if t for k, f in {(k, canonical(k, v)) for *_, k, v in entities(t)}]
+            found = [(h, k, f) for t, h in zip(texts, tk.column(batch, "hash").to_pylist()) if t for k, f in {(k, canonical(k, v)) for *_, k, v in entities(t)}]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["_hash", "kind", "form"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["hash", "kind", "form"])
 
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    mentions = keyed.select("text", "_hash").mapInArrow(run, "_hash long, kind string, form string").distinct()
-    own = mentions.join(moved, ["kind", "form"]).groupBy("_hash").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("_attempts"))
-    return keyed.join(own, "_hash", "left").drop("_hash")
+    mentions = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(run, "hash long, kind string, form string").distinct()
+    own = mentions.join(moved, ["kind", "form"]).groupBy("hash").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("found"))
+    own = own.select(F.col("hash").alias(_free("hash", docs.columns)), F.col("found").alias(name))
+    key = own.columns[0]
+    return docs.withColumn(key, F.xxhash64("text")).join(own, key, "left").drop(key)
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,7 +126,7 @@ def posteriors(voted: DataFrame, rules: int, rounds: int = 30) -> DataFrame:
         return f"transform(sequence(0, {rules - 1}), j -> least({high}D, greatest({low}D, {said} / {cast})))"
 
     keeps, finds = accuracy(0.995, "x.q", 1, 0.99, 0.999), accuracy(0.3, "(1 - x.q)", -1, 0.05, 0.95)
-    prior = "least(0.99D, greatest(0.5D, aggregate(w, 0D, (t, x) -> t + x.n * x.q) / aggregate(w, 0D, (t, x) -> t + x.n)))"
+    prior = "least(0.99D, greatest(0.5D, coalesce(try_divide(aggregate(w, 0D, (t, x) -> t + x.n * x.q), aggregate(w, 0D, (t, x) -> t + x.n)), 0.8D)))"
     update = f"element_at(transform(array({q}), w -> named_struct('prior', {prior}, 'keeps', {keeps}, 'finds', {finds})), 1)"
     first = f"named_struct('prior', 0.8D, 'keeps', array_repeat(0.995D, {rules}), 'finds', array_repeat(0.3D, {rules}))"
     learned = one.withColumn("s", F.expr(f"aggregate(sequence(1, {rounds}), {first}, (s, i) -> {update})"))

@@ -121,14 +121,16 @@ def _redacted(text: Column, spans: Column, mark: str) -> Column:
 
 def redact_secrets(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of docs, with secrets in the texts replaced; n_chars, if there is one, follows."""
-    found = find_secrets(docs, scope).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_same")).agg(F.first("spans").alias("_spans"))
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    on = keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_hash"] == found["_same"])
-    both = keyed.join(found, on, "left")
-    text = F.when(F.col("_spans").isNull(), keyed["text"]).otherwise(_redacted(keyed["text"], F.col("_spans"), mark))
-    columns = {c: keyed[c] for c in docs.columns} | {"text": text}
+    found = find_secrets(docs.select("doc_id", "text"), scope).where(F.size("spans") > 0)
+    found = found.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("same")).agg(F.first("spans").alias("spans"))
+    # the row goes in a struct, so that no name of docs meets one of these
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+    both = keyed.join(found, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("same")), "left")
+    hit = F.col("spans").isNotNull()
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    text = columns["text"] = F.when(hit, _redacted(columns["text"], F.col("spans"), mark)).otherwise(columns["text"])
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("_spans").isNull(), keyed["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+        columns["n_chars"] = F.when(hit, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
     return both.select(*(c.alias(name) for name, c in columns.items()))
 
 

@@ -96,7 +96,7 @@ def mix_sources(
     count = F.col(tokens) if tokens else F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TOKENS))
     names = [c for c in docs.columns if c not in ("epoch", "tokens_before", "mix_order")]
     rows = docs.select(
-        *names,
+        F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"),  # apart, so that no name of docs meets one of these
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_s"),
         F.coalesce(count, F.lit(0)).cast("long").alias("_n"),
         _hash(F.lit(seed), F.col("doc_id")).alias("_h"),
@@ -128,7 +128,7 @@ def mix_sources(
         .withColumn("_d", F.explode("_drawn"))
         .withColumn("tokens_before", F.col("_d._before") + F.col("_within"))
         .where("tokens_before < _d.budget")
-        .select(*names, F.col("_d.epoch").alias("epoch"), "tokens_before", (F.col("tokens_before") / F.col("_d.budget")).alias("mix_order"))
+        .select("_row.*", F.col("_d.epoch").alias("epoch"), "tokens_before", (F.col("tokens_before") / F.col("_d.budget")).alias("mix_order"))
     )
 
 
