@@ -11,6 +11,7 @@ from . import (
     decontamination,
     license_scan,
     ngram_join,
+    oracles,
     pii,
     quality_classifier,
     quality_rules,
@@ -51,4 +52,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": source_mixing.ORACLE_SQL}
+    return oracles.oracle_sql()
