@@ -134,10 +134,15 @@ def top_values(counts: DataFrame, stats: DataFrame, top: int = TOP) -> DataFrame
     return ranked.join(F.broadcast(repeats), "column", "left_semi").select("column", "rank", "value", "count")
 
 
+def counted(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Value counts, kept for the several figures that are made of them, and their basic figures."""
+    counts = value_counts(df, columns).persist()
+    return counts, basic_stats(counts)
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row a column, with the figures of its values, top values and percentiles."""
-    counts = value_counts(df, columns).persist()
-    stats = basic_stats(counts)
+    counts, stats = counted(df, columns)
     top = top_values(counts, stats).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("t"))
     top = top.select("column", F.transform("t", lambda x: F.struct(x["value"].alias("v"), x["count"].alias("c"))).alias("top_values"))
     return (

@@ -252,8 +252,7 @@ _COUNTS = {t: sqltext.counts(t, c) for t, c in _PROFILED.items()}
 
 
 def _profiled(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
-    counts = profile.value_counts(table(spark, sf_dir, name), list(_PROFILED[name]))
-    return counts, profile.basic_stats(counts)
+    return profile.counted(table(spark, sf_dir, name), list(_PROFILED[name]))
 
 
 _MEAN = "CASE WHEN \"numeric\" AND filled > 0 THEN " + sqltext.ROUND2.format("(total / filled)") + " END AS mean"
