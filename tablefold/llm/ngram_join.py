@@ -9,12 +9,14 @@ recall; more similar texts are found more surely.
 
 Copies (texts of one n-gram set) are represented by their least doc_id. Prefix
 matches are kept as one edge from each text to the least of its bucket, never
-as pairs; their components are where links can be. Inside a component all texts
-are compared exactly, on whole n-gram sets: components up to ``block_grams``
-n-grams together, in one group with others, larger ones as blocks, each pair of
-blocks a group of its own. Only counts of links and a spanning forest of them
-leave a group, so a group of copies never makes rows in its square, though the
-comparisons inside one component do.
+as pairs; their components are where links can be. Texts are compared exactly,
+on whole n-gram sets: in components of up to ``block_grams`` n-grams all with
+all, several components to a group. Larger components, which chains of weak
+matches can make, are taken apart again: their texts are compared bucket by
+bucket, a large bucket in blocks with each pair of blocks a group of its own,
+and a pair counts in the first tree that it shares. Only counts of links and a
+spanning forest of them leave a group, so that a group of copies never makes
+rows in its square.
 
 Words are runs of anything but ASCII white space, as written; a text of fewer
 than n words is one n-gram of its words. Texts without words, and rows with a
@@ -99,8 +101,8 @@ def _sets(n: int):
         for batch in tk.steps(batches, "text"):
             sets = list(gram_sets(tk.column(batch, "text"), n))
             yield pa.RecordBatch.from_arrays(
-                [*(tk.column(batch, c) for c in ("rep", "root", "blocks", "copies")), tk.lists(pa.array(tk.as_long(np.concatenate(sets))), np.array([len(s) for s in sets]))],
-                names=["rep", "root", "blocks", "copies", "grams"],
+                [*(tk.column(batch, c) for c in ("rep", "root", "copies", "keys", "places")), tk.lists(pa.array(tk.as_long(np.concatenate(sets))), np.array([len(s) for s in sets]))],
+                names=["rep", "root", "copies", "keys", "places", "grams"],
             )
 
     return run
@@ -125,7 +127,7 @@ def shared(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
 
 
 def _links(pdf: pd.DataFrame, threshold: float) -> list[tuple[int, int, int, int]]:
-    """(rep, linked rep or -1, linked texts, linked documents) inside one component, or a pair of its blocks."""
+    """(rep, linked rep or -1, linked texts, linked documents) inside one component, or a bucket or two of its blocks."""
     pdf = pdf.drop_duplicates("rep")
     rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
     sets = [np.asarray(g, np.int64) for g in pdf["grams"]]
@@ -133,9 +135,13 @@ def _links(pdf: pd.DataFrame, threshold: float) -> list[tuple[int, int, int, int
     both = shared(sets)
     linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
     np.fill_diagonal(linked, False)
-    lo, hi, own = pdf["lo"].iat[0], pdf["hi"].iat[0], pdf["own"].to_numpy()
+    lo, hi, tree, own = pdf["lo"].iat[0], pdf["hi"].iat[0], pdf["tree"].iat[0], pdf["own"].to_numpy()
     if lo != hi:  # pairs inside a block are compared in its own group
         linked &= own[:, None] != own[None, :]
+    if tree > 0:  # pairs that share an earlier tree are compared there
+        keys = np.stack(pdf["keys"].to_list())[:, :tree]
+        for t in range(tree):
+            linked &= keys[:, t][:, None] != keys[:, t][None, :]
     out = [(int(rep[i]), -1, int(linked[i].sum()), int(copies[linked[i]].sum())) for i in np.flatnonzero(linked.any(1))]
     # a spanning forest of the links, by search from the least member of each part
     seen = np.zeros(len(rep), bool)
@@ -153,7 +159,7 @@ def _links(pdf: pd.DataFrame, threshold: float) -> list[tuple[int, int, int, int
 def _verify(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in pdf.groupby("root", sort=False):
+        for _, part in pdf.groupby("root", sort=False):  # a bucket's texts are of one component
             if len(part) > 1:
                 out += _links(part, threshold)
         return pd.DataFrame(out, columns=["rep", "other", "texts", "documents"])
@@ -182,21 +188,29 @@ def similar_documents(
     least = in_tree.groupBy("key").agg(F.min("rep").alias("v"), F.count("*").alias("size")).where("size > 1").drop("size")
     near = components(in_tree.join(least, "key").select(F.col("rep").alias("u"), "v"))
 
-    node = checkpointed(near.join(reps.select("rep", "copies", "n_grams"), near["node"] == F.col("rep")).select("rep", "root", "copies", "n_grams"))
-    sized = node.groupBy("root").agg(F.ceil(F.sum("n_grams") / block_grams).cast("int").alias("blocks"))
-    total = node.agg(F.sum("n_grams")).first()[0] or 0
-    buckets = max(1, math.ceil(total / block_grams))
-    placed = node.join(sized, "root").drop("n_grams")
-    sets = docs.join(placed, docs["doc_id"] == placed["rep"]).select("rep", "root", "blocks", "copies", "text")
-    sets = sets.mapInArrow(_sets(n), "rep long, root long, blocks int, copies long, grams array<long>")
-    own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
+    node = checkpointed(
+        near.join(reps.select("rep", "copies", "n_grams", "keys"), near["node"] == F.col("rep")).select("rep", "root", "copies", "n_grams", "keys")
+    )
+    sized = node.groupBy("root").agg((F.sum("n_grams") > block_grams).alias("large"))
+    node = node.join(sized, "root")
+    total = node.where("NOT large").agg(F.sum("n_grams")).first()[0] or 0
+    groups = max(1, math.ceil(8 * total / block_grams))  # each holds several components, or a large one
+    place = lambda bucket, tree, parts: F.struct(bucket.cast("long").alias("bucket"), tree.cast("int").alias("tree"), parts.cast("int").alias("parts"))
+    whole = place(-1 - F.pmod(F.xxhash64("root"), F.lit(groups)), F.lit(-1), F.lit(1))
+    in_bucket = node.where("large").select("rep", "n_grams", F.posexplode("keys").alias("tree", "bucket"))
+    buckets = in_bucket.groupBy("bucket").agg(F.count("*").alias("n"), F.ceil(F.sum("n_grams") / block_grams).alias("parts")).where("n > 1")
+    places = in_bucket.join(buckets, "bucket").groupBy("rep").agg(F.collect_list(place(F.col("bucket"), F.col("tree"), F.col("parts"))).alias("apart"))
+    placed = node.join(places, "rep", "left").select("rep", "root", "copies", "keys", F.when(F.col("large"), F.col("apart")).otherwise(F.array(whole)).alias("places"))
+    sets = docs.join(placed, docs["doc_id"] == placed["rep"]).select("rep", "root", "copies", "keys", "places", "text")
+    sets = sets.mapInArrow(_sets(n), "rep long, root long, copies long, keys array<long>, places array<struct<bucket:long,tree:int,parts:int>>, grams array<long>")
     grouped = (
-        sets.withColumn("own", own)
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sets.select("rep", "root", "copies", "keys", "grams", F.explode("places").alias("at"))
+        .select("rep", "root", "copies", "keys", "grams", "at.*")
+        .withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("lo", F.least("own", "with"))
         .withColumn("hi", F.greatest("own", "with"))
-        .withColumn("bucket", F.when(F.col("blocks") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(buckets))))
-        .groupBy("bucket", "lo", "hi")
+        .groupBy("bucket", "tree", "lo", "hi")
     )
     found = checkpointed(grouped.applyInPandas(_verify(threshold), "rep long, other long, texts long, documents long"))
 

@@ -14,9 +14,9 @@ anchors, and one anchor serves some dozen windows in a row (a segment).
    together). None is lost: a wider or narrower sketch changes how many unique
    windows are sent, never the result.
 
-Identical segments of one Arrow step go as one row, with the least doc_id; this
-and the partial aggregates keep a passage that a third of all documents share
-down to a row for each step. Documents are keyed by doc_id and text hash, so
+Identical segments go as one row from each task, with the least doc_id, before
+any shuffle: a passage that a third of all documents share comes down to a row
+for each task. Documents are keyed by doc_id and text hash, so
 repeated rows get repeated results. Null texts have no words. A null doc_id is
 larger than any other: its row never removes words from others.
 """
@@ -152,9 +152,30 @@ def repeated_cells(docs: DataFrame, width: int, gram: int, bits: int) -> list[np
     return rows
 
 
+class Seen:
+    """The least doc_id of each repeated segment that a task has met; its size is bounded by the task's input."""
+
+    def __init__(self):
+        self.keys, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def least(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Takes in the ids of distinct sorted keys, and returns the least one of each so far."""
+        at = np.searchsorted(self.keys, keys)
+        inside = at < len(self.keys)
+        old = np.zeros(len(keys), bool)
+        old[inside] = self.keys[at[inside]] == keys[inside]
+        self.ids[at[old]] = np.minimum(self.ids[at[old]], ids[old])
+        out = ids.copy()
+        out[old] = self.ids[at[old]]
+        self.keys = np.insert(self.keys, at[~old], keys[~old])
+        self.ids = np.insert(self.ids, at[~old], ids[~old])
+        return out
+
+
 def _candidates(width: int, gram: int, bits: int, sketch):
     def run(batches):
         rows = sketch.value
+        seen = Seen()
         for batch in tk.steps(batches, "text"):
             s = Segments(tk.column(batch, "text"), width, gram)
             keep = np.ones(len(s.anchor), bool)
@@ -166,13 +187,13 @@ def _candidates(width: int, gram: int, bits: int, sketch):
             ids = tk.column(batch, "doc_id")
             order_id = ids.fill_null(_LAST).to_numpy(zero_copy_only=False)
             first, size, doc = s.starts[at], s.size[at], s.doc[at]
-            # segments of the same windows: all but those of the least doc_id are decided here
+            # segments of the same windows: all but those of the least doc_id that the task has met are decided here
             whole = tk.range_hashes(s.windows, first, first + size) ^ s.anchor[at]
-            order = np.lexsort((order_id[doc], whole))
-            lead = np.diff(whole[order], prepend=~whole[order][:1]) != 0
-            least = np.empty(len(at), np.int64)
-            least[order] = order_id[doc][order][np.flatnonzero(lead)][np.cumsum(lead) - 1]
-            decided = order_id[doc] > least
+            known, index = np.unique(whole, return_inverse=True)
+            least = np.full(len(known), _LAST)
+            np.minimum.at(least, index, order_id[doc])
+            met = seen.least(known, least)
+            decided = order_id[doc] > met[index]
             sent = np.where(decided, 0, size)
             flat = np.repeat(first, sent) + tk.ranges(sent)
             mask = np.where(decided, (np.int64(1) << size) - 1, 0)
