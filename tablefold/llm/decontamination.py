@@ -30,7 +30,7 @@ from . import textkit as tk
 
 BLOCKS = 64
 #: Bytes of item text in one broadcast index. A larger benchmark is indexed and searched in several.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
 
 
 def _grams(words: np.ndarray, k: int) -> np.ndarray:

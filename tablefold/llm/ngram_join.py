@@ -10,8 +10,8 @@ recall; more similar texts are found more surely.
 Copies (texts of one n-gram set) are represented by their least doc_id. Prefix
 matches are kept as one edge from each text to the least of its bucket, never
 as pairs; their components are where links can be. Texts are compared exactly,
-on whole n-gram sets: in components of up to ``block_grams`` n-grams all with
-all, several components to a group. Larger components, which chains of weak
+on whole n-gram sets: in components of up to ``block_grams`` n-grams and
+``block_texts`` texts all with all, several components to a group. Larger components, which chains of weak
 matches can make, are taken apart again: their texts are compared bucket by
 bucket, a large bucket in blocks with each pair of blocks a group of its own,
 and a pair counts in the first tree that it shares. Only counts of links and a
@@ -108,8 +108,8 @@ def _sets(n: int):
     return run
 
 
-def shared(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
-    """How many elements each two sets share, as a square matrix."""
+def shared(sets: list[np.ndarray], cut: int = 0, step: int = 1 << 23) -> np.ndarray:
+    """How many elements each two sets share: each of the first ``cut`` with each of the others, or, without, all with all."""
     n = len(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -117,39 +117,52 @@ def shared(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
     _, value = np.unique(value[keep], return_inverse=True)
     order = np.argsort(value, kind="stable")
     owner, value = owner[keep][order], value[order]
-    total = np.zeros((n, n), np.float32)
+    total = np.zeros((cut or n, n - cut), np.float32)
+    step = min(4096, max(64, step // n))
     for low in range(0, int(value.max(initial=-1)) + 1, step):
         a, b = np.searchsorted(value, [low, low + step])
         has = np.zeros((n, step), np.float32)
         has[owner[a:b], value[a:b] - low] = 1
-        total += has @ has.T
+        total += has[: cut or n] @ has[cut:].T
     return total
 
 
 def _links(pdf: pd.DataFrame, threshold: float) -> list[tuple[int, int, int, int]]:
     """(rep, linked rep or -1, linked texts, linked documents) inside one component, or a bucket or two of its blocks."""
-    pdf = pdf.drop_duplicates("rep")
+    lo, hi, tree = pdf["lo"].iat[0], pdf["hi"].iat[0], pdf["tree"].iat[0]
+    pdf = pdf.drop_duplicates("rep").sort_values(["own", "rep"])
+    # of two blocks, each text of one is compared with each of the other; pairs inside a block have a group of their own
+    cut = int((pdf["own"] == lo).sum()) if lo != hi else 0
+    if lo != hi and cut in (0, len(pdf)):
+        return []
     rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
     sets = [np.asarray(g, np.int64) for g in pdf["grams"]]
     size = np.array([len(s) for s in sets], np.float64)
-    both = shared(sets)
-    linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
-    np.fill_diagonal(linked, False)
-    lo, hi, tree, own = pdf["lo"].iat[0], pdf["hi"].iat[0], pdf["tree"].iat[0], pdf["own"].to_numpy()
-    if lo != hi:  # pairs inside a block are compared in its own group
-        linked &= own[:, None] != own[None, :]
+    left, right = slice(0, cut or len(rep)), slice(cut, len(rep))
+    both = shared(sets, cut)
+    linked = np.empty(both.shape, bool)
+    for a in range(0, len(both), 512):
+        part = both[a : a + 512].astype(np.float64)
+        linked[a : a + 512] = part >= threshold * (size[left][a : a + 512, None] + size[right] - part) - 1e-6
+    if not cut:
+        np.fill_diagonal(linked, False)
     if tree > 0:  # pairs that share an earlier tree are compared there
         keys = np.stack(pdf["keys"].to_list())[:, :tree]
         for t in range(tree):
-            linked &= keys[:, t][:, None] != keys[:, t][None, :]
-    out = [(int(rep[i]), -1, int(linked[i].sum()), int(copies[linked[i]].sum())) for i in np.flatnonzero(linked.any(1))]
+            linked &= keys[left, t][:, None] != keys[right, t]
+    sides = [(rep[left], copies[right], linked), (rep[right], copies[left], linked.T)][: 2 if cut else 1]
+    out = [(int(r[i]), -1, int(has[i].sum()), int(c[has[i]].sum())) for r, c, has in sides for i in np.flatnonzero(has.any(1))]
     # a spanning forest of the links, by search from the least member of each part
     seen = np.zeros(len(rep), bool)
     for i in np.argsort(rep):
         front = [] if seen[i] else [i]
         seen[i] = True
         while front:
-            new = np.flatnonzero(linked[front.pop()] & ~seen)
+            at = front.pop()
+            if cut and at >= cut:
+                new = np.flatnonzero(linked[:, at - cut] & ~seen[left])
+            else:
+                new = cut + np.flatnonzero(linked[at] & ~seen[right])
             seen[new] = True
             front += new.tolist()
             out += [(int(rep[j]), int(rep[i]), 0, 0) for j in new]
@@ -168,13 +181,14 @@ def _verify(threshold: float):
 
 
 def similar_documents(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 8, recall: float = 0.999, block_grams: int = 400_000
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 8, recall: float = 0.999, block_grams: int = 400_000, block_texts: int = 4_000
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id, copy_of, n_copies, n_text_links, n_links.
 
     class_id is the least doc_id that links lead to; copy_of the least doc_id
     of the same n-gram set; n_text_links the other n-gram sets that are linked,
-    n_links all other documents that are (copies among them).
+    n_links all other documents that are (copies among them). ``block_grams``
+    and ``block_texts`` bound what one comparison holds in memory.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     k = prefix_length(threshold, trees, depth, recall)
@@ -182,23 +196,23 @@ def similar_documents(
         docs.where(F.col("doc_id").isNotNull()).mapInArrow(_sign(n, trees, k), "doc_id long, n_grams int, d1 long, d2 long, keys array<long>")
     )
     reps = signed.groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("keys").alias("keys")
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.greatest(F.first("n_grams"), F.lit(block_grams // block_texts)).alias("weight"), F.first("keys").alias("keys")
     )
     in_tree = reps.select("rep", F.explode("keys").alias("key"))
     least = in_tree.groupBy("key").agg(F.min("rep").alias("v"), F.count("*").alias("size")).where("size > 1").drop("size")
     near = components(in_tree.join(least, "key").select(F.col("rep").alias("u"), "v"))
 
     node = checkpointed(
-        near.join(reps.select("rep", "copies", "n_grams", "keys"), near["node"] == F.col("rep")).select("rep", "root", "copies", "n_grams", "keys")
+        near.join(reps.select("rep", "copies", "weight", "keys"), near["node"] == F.col("rep")).select("rep", "root", "copies", "weight", "keys")
     )
-    sized = node.groupBy("root").agg((F.sum("n_grams") > block_grams).alias("large"))
+    sized = node.groupBy("root").agg((F.sum("weight") > block_grams).alias("large"))
     node = node.join(sized, "root")
-    total = node.where("NOT large").agg(F.sum("n_grams")).first()[0] or 0
+    total = node.where("NOT large").agg(F.sum("weight")).first()[0] or 0
     groups = max(1, math.ceil(8 * total / block_grams))  # each holds several components, or a large one
     place = lambda bucket, tree, parts: F.struct(bucket.cast("long").alias("bucket"), tree.cast("int").alias("tree"), parts.cast("int").alias("parts"))
     whole = place(-1 - F.pmod(F.xxhash64("root"), F.lit(groups)), F.lit(-1), F.lit(1))
-    in_bucket = node.where("large").select("rep", "n_grams", F.posexplode("keys").alias("tree", "bucket"))
-    buckets = in_bucket.groupBy("bucket").agg(F.count("*").alias("n"), F.ceil(F.sum("n_grams") / block_grams).alias("parts")).where("n > 1")
+    in_bucket = node.where("large").select("rep", "weight", F.posexplode("keys").alias("tree", "bucket"))
+    buckets = in_bucket.groupBy("bucket").agg(F.count("*").alias("n"), F.ceil(F.sum("weight") / block_grams).alias("parts")).where("n > 1")
     places = in_bucket.join(buckets, "bucket").groupBy("rep").agg(F.collect_list(place(F.col("bucket"), F.col("tree"), F.col("parts"))).alias("apart"))
     placed = node.join(places, "rep", "left").select("rep", "root", "copies", "keys", F.when(F.col("large"), F.col("apart")).otherwise(F.array(whole)).alias("places"))
     sets = docs.join(placed, docs["doc_id"] == placed["rep"]).select("rep", "root", "copies", "keys", "places", "text")
