@@ -1,3 +1,5 @@
+import re
+
 import corpus_pipeline
 import __spark_entry__
 from tablefold.llm import decontamination, ngram_join, quality_classifier
@@ -27,6 +29,39 @@ def test_stages_take_effect(spark):
     assert {r.doc_id for r in five.select("doc_id").collect()} <= {r.doc_id for r in four.collect()}
 
 
+def grams(words: list[str], n: int) -> set:
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def test_stages_against_plain_versions(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id")
+    data = {r.doc_id: r.text or "" for r in docs.collect()}
+    sets = {i: grams(re.findall(r"[^\x20\x09-\x0D]+", t), 5) for i, t in data.items()}
+    root = {}
+    for i in sorted(sets):  # ascending, so that the first of a class is its least
+        if i in root:
+            continue
+        front = [i]
+        while front:
+            at = front.pop()
+            if at not in root:
+                root[at] = i
+                front += [j for j in sets if j not in root and sets[at] and sets[j] and len(sets[at] & sets[j]) >= 0.8 * len(sets[at] | sets[j])]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()) == sorted(set(root.values()))
+
+    fold = lambda t: re.findall(r"[0-9a-z\u0080-\uffff]+", t.lower())
+    items = [" ".join(fold(r.text)) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    whole = {i for i, t in data.items() if any(f" {x} " in f" {' '.join(fold(t))} " for x in items)}
+    assert whole and {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, DATA).collect()} == set(data) - whole
+
+    keys = re.compile(r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}")
+    planted = f"one AKIA{'ABCD' * 4}, two {'0a1b' * 8} end"  # this small table may hold none of its own
+    more = docs.unionAll(spark.createDataFrame([(10**9, planted, "en", "s", len(planted))], docs.schema))
+    left = {r.doc_id: r.text for r in corpus_pipeline.secrets(spark, more, DATA).collect()}
+    assert left[10**9] == "one [SECRET], two [SECRET] end"
+    assert len(left) == len(data) + 1 and not any(keys.search(t or "") for t in left.values())
+
+
 def test_run_equals_the_stages_and_is_registered(spark):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
