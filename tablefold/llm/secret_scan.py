@@ -6,8 +6,9 @@ announced values (kind value) and endpoints (kind endpoint): each would be
 noise by itself, and is reported only if a complementary part stands within
 ``scope`` characters of the same text: a secret (assign, hex, value) with an
 identifier or endpoint (access, identifier, endpoint). Parts meet in an
-interval join over cells of ``scope`` characters, so the number of partners is
-bounded by what fits into three cells.
+interval join over cells of ``scope`` characters: a secret stands in all cells
+that it touches with ``scope`` characters more on both sides, a partner in those
+of its own span, so that two parts in scope share a cell however long they are.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans.
 Every row gives one row; rows that repeat doc_id and text get equal spans.
@@ -84,12 +85,21 @@ def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
     each = (
         parts.where(F.size("weak") > 0)
         .select("doc_id", "text_hash", F.explode(F.concat("base", "weak")).alias("s"))
-        .select("doc_id", "text_hash", "s", (F.col("s.start") / scope).cast("int").alias("cell"), F.col("s.rank").isin([KINDS.index(k) for k in SECRETS]).alias("secret"))
+        .select("doc_id", "text_hash", "s", F.col("s.rank").isin([KINDS.index(k) for k in SECRETS]).alias("secret"))
         .distinct()
     )
-    left = each.where("secret").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).alias("l")
-    right = each.where("NOT secret").alias("r")
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_hash") == F.col("r.text_hash")) & (F.col("l.cell") == F.col("r.cell"))
+
+    def over_cells(spans, reach):
+        """Each span once for every cell that it touches when ``reach`` longer on both sides; first is the first of them."""
+        cell = lambda at: F.floor(at / scope).cast("int")
+        wide = spans.withColumn("first", cell(F.col("s.start") - reach))
+        return wide.withColumn("cell", F.explode(F.sequence("first", cell(F.col("s.end") + reach))))
+
+    left = over_cells(each.where("secret"), scope).alias("l")
+    right = over_cells(each.where("NOT secret"), 0).alias("r")
+    # two spans may share many cells, and meet in the first of those
+    once = F.col("l.cell") == F.greatest("l.first", "r.first")
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_hash") == F.col("r.text_hash")) & (F.col("l.cell") == F.col("r.cell")) & once
     # close to each other, and not one within the other
     close = (F.col("l.s.start") - F.col("r.s.end") <= scope) & (F.col("r.s.start") - F.col("l.s.end") <= scope)
     apart = (F.col("l.s.start") >= F.col("r.s.end")) | (F.col("r.s.start") >= F.col("l.s.end"))

@@ -195,6 +195,29 @@ def test_weak_parts_need_each_other(spark):
     assert got == {1: ["identifier", "value"], 2: [], 3: [], 4: []}
 
 
+def test_parts_in_scope_meet_at_every_offset_and_length(spark):
+    value, identifier = "Ab1" * 12, "user=bob"
+    url, key = f"https://db.example.com/{'x' * 520}", "Ab1" * 180
+
+    def gap(n):
+        return (". " * n)[: n - 1] + " "
+
+    texts = [gap(o) + f"{first}{gap(d)}{second}" for o in range(1, 402, 7) for d in (150, 183, 199, 200, 201) for first, second in ((identifier, value), (value, identifier))]
+    texts += [gap(o) + f"{first}{gap(d)}{second}" for o in range(1, 202, 23) for d in (10, 199, 200, 201) for first, second in ((url, value), (value, url), (key, identifier), (identifier, key), (key, url), (url, key))]
+    patterns = {k: re.compile(p.replace("\\x20", " ")) for k, (p, *_) in secret_scan.WEAK.items()}
+
+    def plain(text):
+        parts = [(m.start(), secret_scan.KINDS.index(k), m.end()) for k, p in patterns.items() for m in p.finditer(text)]
+        rank = secret_scan.KINDS.index("value")
+        near = lambda a, b: max(a[0], b[0]) >= min(a[2], b[2]) and max(a[0], b[0]) - min(a[2], b[2]) <= 200
+        return sorted(a for a in parts if any((a[1] == rank) != (b[1] == rank) and near(a, b) for b in parts))
+
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans if s.rank >= len(secret_scan.STRONG)] for r in secret_scan.find_secrets(d).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    assert sum(map(bool, got.values())) > len(texts) / 2
+
+
 def test_redaction(docs):
     out = secret_scan.redact_secrets(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
