@@ -12,7 +12,11 @@ block maxima sum to less than the threshold; the items of the other blocks are
 scored in full, and all above the threshold are retrieved. These steps run for
 many passages at once. A retrieved item counts only if the
 text around holds most of its question's and its answer's word trigrams (the
-answer is the item's last quarter).
+answer is the item's last quarter), or a near copy of it: all words but one in
+eight, about, in their places but for so many shifts, among them most of the
+question's and of the answer's. One edit breaks up to three trigrams, which can
+be all that a short part has, but a single word; overlaps are shares of trigrams
+in the first case, of words in the second. Items under six words have no near copies.
 
 Null and empty texts match nothing; null or empty items are left out. Every
 document row is judged for itself, so repeated rows get repeated results.
@@ -78,7 +82,7 @@ class Index:
         for i in range(n):
             own = words[t.first[i] : t.first[i + 1]]
             cut = len(own) - max(1, int(len(own) * answer_share))
-            self.parts.append((np.unique(_grams(own[:cut] if cut else own, 3)), np.unique(_grams(own[cut:], 3)), min(3, max(1, cut)), min(3, len(own) - cut)))
+            self.parts.append((np.unique(_grams(own[:cut] if cut else own, 3)), np.unique(_grams(own[cut:], 3)), min(3, max(1, cut)), min(3, len(own) - cut), own, cut))
 
     def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of words that are terms, and the terms."""
@@ -97,6 +101,31 @@ def _summed(key: np.ndarray, value: np.ndarray, least: float) -> tuple[np.ndarra
     return key[keep], total[keep]
 
 
+def _near_copy(own: np.ndarray, cut: int, region: np.ndarray, question: float, answer: float) -> tuple[float, float] | None:
+    """Shares of the question's and the answer's words in a near copy of an item that the region holds, if it holds one."""
+    edits = (len(own) + 2) // 8
+    if not edits:
+        return None
+    order = np.argsort(own, kind="stable")
+    low = np.searchsorted(own[order], region, "left")
+    many = np.searchsorted(own[order], region, "right") - low
+    word = order[np.repeat(low, many) + tk.ranges(many)]
+    shift = np.repeat(np.arange(len(region)), many) - word
+    by = np.argsort(shift, kind="stable")
+    word, shift = word[by], shift[by]
+    begin = np.flatnonzero(np.diff(shift, prepend=np.iinfo(np.int64).min))
+    end = np.searchsorted(shift, shift[begin] + edits, "right")
+    best = None
+    for a, b in zip(begin.tolist(), end.tolist()):
+        if b - a < len(own) - edits:
+            continue
+        held = np.unique(word[a:b])
+        shares = float((held < cut).sum() / cut), float((held >= cut).sum() / (len(own) - cut))
+        if len(held) >= len(own) - edits and shares[0] >= question and shares[1] >= answer:
+            best = max(best or shares, shares)
+    return best
+
+
 def search(index: Index, column: pa.Array, threshold: float, question: float, answer: float):
     """(row, item, score, question overlap, answer overlap) of the verified matches in a column of texts."""
     t = tk.Texts(pc.utf8_lower(column), tk.alnum_classes())
@@ -141,12 +170,14 @@ def search(index: Index, column: pa.Array, threshold: float, question: float, an
         row = int(np.searchsorted(half_first, p, "right")) - 1
         low = t.first[row] + (p - half_first[row]) * stride
         region = words[max(t.first[row], low - stride) : min(t.first[row + 1], low + 3 * stride)]
-        q_set, a_set, q_k, a_k = index.parts[i]
+        q_set, a_set, q_k, a_k, own, cut = index.parts[i]
         if len(region) < max(q_k, a_k):
             continue
         q_share = float(np.isin(q_set, _grams(region, q_k)).mean())
         a_share = float(np.isin(a_set, _grams(region, a_k)).mean())
-        if q_share >= question and a_share >= answer:
+        if q_share < question or a_share < answer:
+            q_share, a_share = _near_copy(own, cut, region, question, answer) or (-1.0, -1.0)
+        if q_share >= 0:
             best[row, i] = max(best.get((row, i), (0.0, 0.0, 0.0)), (s, q_share, a_share))
     return [(row, i, *x) for (row, i), x in sorted(best.items())]
 

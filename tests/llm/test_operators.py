@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablefold.llm import (
@@ -153,6 +154,19 @@ def test_decontamination(spark, docs, empty):
     assert rows(decontamination.contaminated(empty, bench)) == []
 
 
+def test_one_edit_leaves_an_item_found():
+    rng = np.random.default_rng(7)
+    for n in (*range(12, 42), 48, 60):
+        w = [f"w{k}" for k in rng.choice(9000, n, replace=False)]
+        around = [[f"x{k}" for k in rng.choice(9000, 30)] for _ in range(2)]
+        near = [w, *(e for i in range(n) for e in (w[:i] + ["odd"] + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + ["odd"] + w[i:]))]
+        answer = [w[: n - n // 4] + [f"y{k}" for k in range(n // 4)], [f"y{k}" for k in range(n - n // 4)] + w[n - n // 4 :]]
+        texts = [" ".join(around[0] + t + around[1]) for t in [*near, *answer]]
+        index = decontamination.Index([5, 6], [" ".join(w), prose(8, 30)])
+        hits = decontamination.search(index, pa.array(texts), 0.6, 0.6, 0.6)
+        assert [(row, item) for row, item, *_ in hits] == [(i, 0) for i in range(len(near))]
+
+
 def test_block_pruning_loses_nothing(spark):
     texts = [prose(i, 30) for i in range(300)]
     index = decontamination.Index(list(range(300)), texts)
