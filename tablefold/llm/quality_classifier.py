@@ -31,11 +31,12 @@ def _grams(column: pa.Array, bits: int, orders: tuple[int, ...]) -> tuple[np.nda
     words = tk.Texts(column, tk.alnum_classes(punctuation=True))
     hashes = words.hashes()
     docs, ids = [], []
+    doc = words.doc_of_word()  # the array goes on from text to text, repeats don't
     again = np.zeros(len(hashes), bool)
     for lag in range(1, min(LAGS, len(hashes) - 1) + 1):
         same = hashes[lag:] == hashes[:-lag]
-        again[lag:-1] |= same[:-1] & same[1:]
-    twice = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
+        again[lag:-1] |= same[:-1] & same[1:] & (doc[: -lag - 1] == doc[lag + 1 :])
+    twice = np.flatnonzero((hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])) + 1
     for cell, at in enumerate((np.flatnonzero(again), twice)):
         docs.append(np.searchsorted(words.first, at, "right") - 1)
         ids.append(np.full(len(at), cell))

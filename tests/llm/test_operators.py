@@ -356,6 +356,24 @@ def test_quality_classifier(spark, docs, empty):
     assert {r.score for r in quality_classifier.score_quality(docs, none).collect()} == {0.5}
 
 
+def test_quality_scores_do_not_depend_on_the_rows_around(spark):
+    texts = ["one good line of text", "so so good", "good", "a b a b a b", "of text", prose(9, 12), "line of text line"]
+    order = [0, 0, 1, 2, 2, 4, 0, 3, 3, 5, 5, 6, 1, 1]
+    again = [order[i] for i in np.random.default_rng(1).permutation(len(order))]
+    weights = np.random.default_rng(2).normal(size=(1 << 18) + 1)
+    alone = {}
+    for i, t in enumerate(texts):
+        (alone[i],) = list(quality_classifier.featurise(18, (1, 2))(pa.array([t])))
+    for rows_of in (order, again):
+        for got, i in zip(quality_classifier.featurise(18, (1, 2))(pa.array([texts[i] for i in rows_of])), rows_of):
+            assert all(np.array_equal(a, b) for a, b in zip(got, alone[i]))
+    scores = set()
+    for rows_of, parts in ((order, 1), (again, 1), (again, 5)):
+        d = spark.createDataFrame([(i, texts[i]) for i in rows_of], "doc_id long, text string").repartition(parts)
+        scores |= {(r.doc_id, r.score) for r in quality_classifier.score_quality(d, weights).collect()}
+    assert len(scores) == len(texts)
+
+
 def test_toxicity(spark, docs, empty):
     d = labelled(spark).where("doc_id % 8 = 0 OR toxic = 0")
     weights = toxicity.fit_toxicity(d.where("doc_id % 3 > 0"), d.select("doc_id", "toxic"))
