@@ -14,12 +14,16 @@ SPECIAL = r"(?i)^([+-]?(inf|infinity)|nan)$"
 
 
 def text_of(column: Column, kind: T.DataType) -> Column:
-    """A cell as text; nulls are empty. Floats go through decimals of four digits, so that engines agree."""
-    if isinstance(kind, T.FloatType | T.DoubleType):
-        column = column.cast("decimal(38,4)")
+    """A cell as text; nulls are empty. Different floats have different texts, which read back as what they were."""
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def four_digits(df: DataFrame) -> DataFrame:
+    """df with floats as decimals of four digits, which all engines write alike; loses what lies beyond."""
+    floats = [f.name for f in df.schema if isinstance(f.dataType, T.FloatType | T.DoubleType)]
+    return df.withColumns({c: F.col(f"`{c}`").cast("decimal(38,4)") for c in floats})
+
+
 def canonical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """All cells as text, as a table read from CSV has them."""
     return df.select(*(text_of(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in columns or df.columns))

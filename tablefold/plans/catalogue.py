@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canon import parsed, readable_size, row_sum, text_of
+from ..functions.canon import four_digits, parsed, readable_size, row_sum, text_of
 from ..operators import ingest, profile, rowdiff
 from ..operators.merge import Merge, merge
 from . import graph, sqltext
@@ -48,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def orders_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = table(spark, sf_dir, "orders")
+    t = four_digits(table(spark, sf_dir, "orders"))
     changed = F.when(F.col("o_orderkey") % 10 == 0, "X").otherwise(F.col("o_orderstatus"))
     return t.where("o_orderkey % 13 <> 0").withColumn("o_orderstatus", changed), t.where("o_orderkey % 17 <> 0")
 
@@ -59,7 +59,7 @@ ORDERS_DIFF = sqltext.diff(ORDERS_NEW, ORDERS_OLD, ["o_orderkey"], sqltext.ORDER
 
 
 def customer_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = table(spark, sf_dir, "customer")
+    t = four_digits(table(spark, sf_dir, "customer"))
     moved = F.when(F.col("c_custkey") % 10 == 0, (F.col("c_nationkey") + 1).cast("int")).otherwise(F.col("c_nationkey"))
     return t.where("c_custkey % 13 <> 0").withColumn("c_nationkey", moved), t.where("c_custkey % 17 <> 0")
 
@@ -107,6 +107,7 @@ _LINES_DIFF = sqltext.diff(_LINES_NEW, f"(SELECT * FROM {_LINES_ROWS} WHERE (l_o
 @query(f"SELECT status, l_orderkey, l_linenumber FROM ({_LINES_DIFF}) WHERE status <> 'unchanged'")
 def diff_composite_pk(spark, sf_dir):
     t = ingest.one_per_key(table(spark, sf_dir, "lineitem").select(*_LINES), ["l_orderkey", "l_linenumber"])
+    t = four_digits(t)
     new = t.where("(l_orderkey + l_linenumber) % 11 <> 0").withColumn("l_returnflag", F.when(F.col("l_orderkey") % 9 == 0, "Z").otherwise(F.col("l_returnflag")))
     d = rowdiff.row_diff(new, t.where("(l_orderkey + l_linenumber) % 7 <> 0"), ["l_orderkey", "l_linenumber"])
     return d.select("status", "l_orderkey", "l_linenumber")
@@ -141,7 +142,7 @@ def diff_cells(spark, sf_dir):
     t = table(spark, sf_dir, "supplier")
     louder = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.upper("s_name"), F.lit("!"))).otherwise(F.col("s_name"))
     new = t.where("s_suppkey % 3 <> 0").withColumn("s_acctbal", F.col("s_acctbal") + 1.5).withColumn("s_name", louder)
-    return rowdiff.cell_diff(new, t, ["s_suppkey"])
+    return rowdiff.cell_diff(four_digits(new), four_digits(t), ["s_suppkey"])
 
 
 @query(
@@ -217,12 +218,12 @@ def sorted_blocks(spark, sf_dir):
     SELECT *, "row" // 255 AS block, {sqltext.row_sum(sqltext.ORDERS)} AS s FROM ({_PLACED.format("o_orderkey", "orders")})) GROUP BY block"""
 )
 def block_sums(spark, sf_dir):
-    return ingest.block_sums(table(spark, sf_dir, "orders"), ["o_orderkey"])
+    return ingest.block_sums(four_digits(table(spark, sf_dir, "orders")), ["o_orderkey"])
 
 
 @query(f"SELECT c_custkey, {sqltext.row_sum(sqltext.CUSTOMER)} AS row_sum, {sqltext.row_sum({'c_custkey': 'i'})} AS pk_sum FROM customer")
 def row_hashes(spark, sf_dir):
-    t = table(spark, sf_dir, "customer")
+    t = four_digits(table(spark, sf_dir, "customer"))
     return t.select("c_custkey", row_sum(t).alias("row_sum"), row_sum(t, ["c_custkey"]).alias("pk_sum"))
 
 
@@ -252,7 +253,7 @@ _COUNTS = {t: sqltext.counts(t, c) for t, c in _PROFILED.items()}
 
 
 def _profiled(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
-    return profile.counted(table(spark, sf_dir, name), list(_PROFILED[name]))
+    return profile.counted(four_digits(table(spark, sf_dir, name)), list(_PROFILED[name]))
 
 
 _MEAN = "CASE WHEN \"numeric\" AND filled > 0 THEN " + sqltext.ROUND2.format("(total / filled)") + " END AS mean"
@@ -486,5 +487,5 @@ def object_size_stats(spark, sf_dir):
 
 @query(f"SELECT p_partkey, {sqltext.text('p_retailprice', 'd')} AS p_retailprice, {sqltext.text('p_name', 's')} AS p_name FROM part WHERE p_partkey % 2 = 0")
 def canonical_cells(spark, sf_dir):
-    t = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    t = four_digits(table(spark, sf_dir, "part")).where("p_partkey % 2 = 0")
     return t.select("p_partkey", *(text_of(F.col(c), t.schema[c].dataType).alias(c) for c in ("p_retailprice", "p_name")))

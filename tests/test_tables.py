@@ -1,6 +1,7 @@
 """Operators on small tables with known results."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablefold.functions import canon
 from tablefold.operators import coldiff, ingest, profile, rowdiff
@@ -208,6 +209,18 @@ def test_row_sums_follow_cells_and_order(spark):
     assert s(frame(spark, "a b", "ab,c")) != s(frame(spark, "a b", "a,bc"))
 
 
+def test_small_changes_of_floats_count(spark):
+    schema = "id int, d double, f float"
+    lines = [(1, 1e-6, 0.5), (2, 2e-6, 0.25), (3, 1e40, 0.125), (4, None, 1e-7), (5, 0.1, None)]
+    changed = [(1, 3e-6, 0.5), (2, 2e-6, 0.25), (3, 2e40, 0.125), (4, float("nan"), 1.5e-7), (5, 0.1 + 2**-56, None)]
+    old, new = spark.createDataFrame(lines, schema), spark.createDataFrame(changed, schema)
+    assert {(r.id, r.status) for r in rowdiff.row_diff(new, old, ["id"]).collect()} == {(i, "modified") for i in (1, 3, 4, 5)}
+    assert {(r.id, r.column) for r in rowdiff.cell_diff(new, old, ["id"]).collect()} == {(1, "d"), (3, "d"), (4, "d"), (4, "f"), (5, "d")}
+    assert ingest.table_sum(new, ["id"]) != ingest.table_sum(old, ["id"])
+    assert {r["column"]: len(r.values) for r in profile.value_counts(old).groupBy("column").agg(F.collect_set("value").alias("values")).collect()}["d"] == 5
+    assert {r.id: float(r.d or "inf") for r in merge(old, [new.where("id < 4"), old.where("id < 4")], ["id"]).resolved().collect()} == {"1": 3e-6, "2": 2e-6, "3": 2e40}
+
+
 def test_csv(spark, tmp_path):
     assert csvio.named(["", "a", "", "b"]) == ["unnamed__1", "a", "unnamed__2", "b"]
     assert csvio.named(["unnamed__1", ""]) == ["unnamed__1", "unnamed__2"]
