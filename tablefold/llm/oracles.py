@@ -70,33 +70,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-def license_scan_sql(k: int = 2, drift: int = 2, gap: int = 12, share: float = 0.8) -> str:
-    rows = []
+def license_scan_sql(k: int = 3, drift: int = 2, gap: int = 12, share: float = 0.8, extra: float = 0.3) -> str:
+    rows, run = [], license_scan.PHRASE_RUN
     named = [(t, label, False) for t, label in license_scan.TEMPLATES.items()] + [(t, label, True) for t, label in license_scan.BASE_PHRASES.items()]
     for number, (text, label, base) in enumerate(named):
-        words = text.split()
-        n = len(words) - k + 1
-        rows += [f"('{' '.join(words[i : i + k])}', {number}, {i}, {n}, '{label}', {str(base).lower()})" for i in range(n)]
+        words, length = text.split(), run if base else k
+        rows += [f"('{' '.join(words[i : i + length])}', {number}, {i}, {len(words) - length + 1}, {len(words)}, '{label}', {str(base).lower()})" for i in range(len(words) - length + 1)]
     labels = lambda c: f"array_to_string(list_sort(list_distinct({c})), ',')"
+    whose = "doc_id, template, label, size, span"
     return rf"""
-WITH templates(gram, template, tpos, n_grams, label, base) AS (VALUES {", ".join(rows)}),
+WITH templates(gram, template, tpos, n_grams, size, label, base) AS (VALUES {", ".join(rows)}),
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-grams AS (SELECT doc_id, p, array_to_string(ws[p + 1:p + {k}], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - {k - 1})) AS p FROM w)),
-votes AS (SELECT doc_id, template, label, base, n_grams, p - tpos AS diagonal, count(*) AS hits, min(p) AS s, max(p) + {k} AS e FROM grams JOIN templates USING (gram) GROUP BY ALL),
-apart AS (SELECT *, CASE WHEN base OR lag(e) OVER o IS NULL OR abs(diagonal - lag(diagonal) OVER o) > {drift} OR s - lag(e) OVER o > {gap} THEN 1 ELSE 0 END AS new
-          FROM votes WINDOW o AS (PARTITION BY doc_id, template ORDER BY s, diagonal)),
-spans AS (SELECT doc_id, template, label, base, n_grams, span, sum(hits) AS hits, min(s) AS s, max(e) AS e
-          FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY s, diagonal) AS span FROM apart) GROUP BY ALL),
-found AS (
-  SELECT doc_id, count(*) FILTER (base AND hits = n_grams) AS n_base, min(s) FILTER (base AND hits = n_grams) AS first_word, max(s) FILTER (base AND hits = n_grams) AS last_word,
-         list(label) FILTER (base AND hits = n_grams) AS b,
-         list(label) FILTER (NOT base AND least(1, hits / n_grams) >= {share} AND e - s <= n_grams + {k - 1 + gap}) AS l,
-         max(least(1, hits / n_grams)) FILTER (NOT base AND least(1, hits / n_grams) >= {share} AND e - s <= n_grams + {k - 1 + gap}) AS best
-  FROM spans GROUP BY doc_id)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+places AS (SELECT doc_id, ws, unnest(range(0, len(ws) - {run - 1})) AS p FROM w),
+hits AS (SELECT doc_id, p, t.* FROM (SELECT doc_id, p, unnest([array_to_string(ws[p + 1:p + {run}], ' '), CASE WHEN p + {k} <= len(ws) THEN array_to_string(ws[p + 1:p + {k}], ' ') END]) AS gram FROM places) JOIN templates t USING (gram)),
+phrases AS (SELECT doc_id, label, min(p) AS s FROM hits WHERE base GROUP BY doc_id, template, label, n_grams, p - tpos HAVING count(*) = n_grams),
+diagonals AS (SELECT doc_id, template, p - tpos AS d, min(p) AS s, max(p) AS l FROM hits WHERE NOT base GROUP BY ALL),
+near AS (SELECT *, CASE WHEN d - lag(d) OVER o <= {drift} AND greatest(s, lag(s) OVER o) - least(l, lag(l) OVER o) <= {gap + k} THEN 0 ELSE 1 END AS new
+            FROM diagonals WINDOW o AS (PARTITION BY doc_id, template ORDER BY d)),
+merged AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY d) AS span FROM near),
+chained AS (SELECT h.*, m.span, count(*) FILTER (tpos = 0) OVER (PARTITION BY h.doc_id, h.template, m.span ORDER BY p, tpos) AS chain
+            FROM hits h JOIN merged m ON h.doc_id = m.doc_id AND h.template = m.template AND h.p - h.tpos = m.d WHERE NOT base),
+-- the template's words that the chain's steps hold, as a set
+steps AS (SELECT *, tpos > coalesce(max(tpos) OVER (PARTITION BY {whose}, chain ORDER BY p, tpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS on_way FROM chained),
+held AS (SELECT {whose}, chain, min(p) AS s, max(p) + {k} AS e, len(list_distinct(flatten(list([tpos + x FOR x IN range({k})])))) AS words FROM steps WHERE on_way GROUP BY ALL),
+spans AS (SELECT doc_id, label, words / size AS share FROM held WHERE words / size >= {share} AND e - s - words <= size * {extra}),
+base AS (SELECT doc_id, count(*) AS n, min(s) AS first_word, max(s) AS last_word, list(label) AS b FROM phrases GROUP BY doc_id),
+more AS (SELECT doc_id, list(label) AS l, max(share) AS best FROM spans GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce({labels("b")}, '') AS base_labels, coalesce({labels("list_concat(coalesce(b, []), coalesce(l, []))")}, '') AS labels,
-       (CASE WHEN n_base > 0 THEN 1 ELSE coalesce(best, 0) END)::DOUBLE AS score
-FROM w LEFT JOIN found USING (doc_id)
+       (CASE WHEN n > 0 THEN 1 ELSE coalesce(best, 0) END)::DOUBLE AS score
+FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN more ON more.doc_id = w.doc_id
 """
 
 

@@ -99,10 +99,30 @@ def test_license_scan(docs, empty):
     assert [(b.start, b.label) for b in r.base] == [(2, "cc-by"), (6, "reserved"), (10, "gpl"), (13, "cc-by"), (15, "cc-by")]
     assert "cc-by" in {s.label for s in r.spans}
     assert {s.label for s in got[16, 9].spans} == {"apache-2.0"}  # with a word put in: two neighbouring diagonals
-    assert not got[8, 0].base and not got[1, 120].spans
+    assert not got[8, 0].base and not got[1, 120].spans and not got[13, 30_000].spans
     assert rows(license_scan.scan_licenses(empty)) == []
 
 
+def test_license_spans_are_verified(spark):
+    """Votes alone don't make a license: words must stand in the template's order; single edits leave it found."""
+    mit = next(t for t, label in license_scan.TEMPLATES.items() if label == "mit" and len(t.split()) > 100).split()
+    notice = "permission is hereby granted free of charge to any person obtaining a copy of this software".split()
+    edited = [e for i in range(len(notice)) for e in (notice[:i] + ["odd"] + notice[i + 1 :], notice[:i] + notice[i + 1 :], notice[:i] + ["odd"] + notice[i:])]
+    around = prose(77, 20).split()
+    shuffled = [notice[i] for i in np.random.default_rng(3).permutation(len(notice))]
+    wrong = [["licensed", "under"] * 6, ["licensed", "under"] * 3000, shuffled, notice[8:] + notice[:8], [w for x in notice for w in (x, "odd")], mit[60:100]]
+    right = [notice, *edited, mit, mit[:50] + ["a", "b"] + mit[50:120] + mit[125:], ["licensed", "under"] * 9 + "cc by 4 0".split()]
+    d = spark.createDataFrame([(i, " ".join(around + t + around)) for i, t in enumerate([*wrong, *right])], "doc_id long, text string")
+    got = {r.doc_id: {(s.label) for s in r.spans} for r in license_scan.scan_licenses(d).collect()}
+    assert not any(got[i] for i in range(len(wrong))), got
+    assert all(got[len(wrong) + i] >= {"mit"} for i in range(len(right) - 1)), got
+    assert got[len(wrong) + len(right) - 1] == {"cc-by"}
+    twice = spark.createDataFrame([(1, f"{' '.join(notice)} and again {' '.join(notice)}")], "doc_id long, text string")
+    for parts in (1, 3):
+        (r,) = license_scan.scan_licenses(twice.repartition(parts)).collect()
+        assert [(s.start, s.end, s.label, s.share) for s in r.spans] == [(0, 16, "mit", 1.0), (18, 34, "mit", 1.0)]
+
+
 def test_ngram_join(docs, empty):
     data = [(r.doc_id, (r.text or "").encode().split()) for r in docs.collect()]
     sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for i, w in data if i is not None}
