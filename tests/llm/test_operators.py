@@ -131,8 +131,8 @@ def test_ngram_join(docs, empty):
         if i is not None and sets[i]:
             copies[sets[i]].append(i)
             links[i] |= {j for j in sets if j != i and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    for block in (400_000, 100):  # the second makes blocks
-        got = ngram_join.similar_documents(docs, block_grams=block).collect()
+    for how in ({}, {"crowd": 2, "block_grams": 100}):  # blocks; crowded nodes
+        got = ngram_join.similar_documents(docs, **how).collect()
         assert len(got) == len(data)
         for r in got:
             if r.doc_id is not None:
@@ -144,6 +144,36 @@ def test_ngram_join(docs, empty):
     assert rows(ngram_join.similar_documents(empty)) == []
 
 
+def test_links_at_the_threshold_are_found(spark):
+    """Recall of pairs of similarity 0.8 exactly, with and without crowded nodes; near copies in one large group; all against brute force."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for i in range(600):
+        w = [f"w{x}" for x in rng.integers(0, 10**9, 104)]
+        texts += [(2 * i, " ".join(w[:94])), (2 * i + 1, " ".join(w[10:]))]
+    group = [f"g{x}" for x in rng.integers(0, 10**9, 200)]
+    texts += [(5000 + i, " ".join(group[:i] + ["odd"] + group[i + 1 :])) for i in range(150)]
+    grams = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts for w in [t.split()]}
+    assert len(grams[0] & grams[1]) / len(grams[0] | grams[1]) == 0.8
+    near = {i: sum(len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) for j in grams if j >= 5000 and j != i) for i in grams if i >= 5000}
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    for how in ({}, {"crowd": 20, "block_grams": 5000}):
+        got = {r.doc_id: r for r in ngram_join.similar_documents(d, **how).collect()}
+        assert sum(got[2 * i + 1].class_id == 2 * i for i in range(600)) >= 599
+        assert all(got[i].n_links == n for i, n in near.items())
+        assert all(got[i].n_links <= 1 for i in range(1200))
+
+
+def test_a_doc_id_with_two_texts(spark):
+    one, two = prose(900, 60), prose(901, 60)
+    d = spark.createDataFrame([(1, one, "a"), (1, two, "b"), (2, two, "c"), (3, one, "d"), (3, one, "c"), (1, one, "b"), (4, prose(902, 60), "e")], "doc_id long, text string, first string")
+    for parts in (1, 7):
+        kept = ngram_join.one_of_each(d.repartition(parts))
+        assert sorted(map(tuple, kept.collect())) == sorted([(1, one, "a"), (1, two, "b"), (4, prose(902, 60), "e")])
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar_documents(d).collect())
+    assert got == [(1, 1, 1), (1, 1, 3), (1, 1, 3), (2, 1, 1), (3, 1, 3), (3, 1, 3), (4, 4, 0)]
+
+
 def test_prefixes_shorten_to_the_recall():
     assert ngram_join.prefix_length(0.8, 20, 8, 0.999) == 5
     assert ngram_join.prefix_length(0.8, 20, 8, 0.95) == 8
