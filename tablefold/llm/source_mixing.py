@@ -3,27 +3,40 @@
 A source's weight is its share of all tokens raised to an exponent between 0
 (all sources alike) and 1 (as they are), normalised. The exponent is bisected
 to the least one at which the entropy of the weights is no more than a target
-share of that of equal weights, and no source is repeated beyond a limit.
+share of that of equal weights, and no source is repeated beyond a limit. So
+shares are flattened until their entropy reaches the target, left as they are if
+it is above it already, and flattened less where a source would be repeated too
+often. Both fall with the exponent, so bisection finds it; a round of it takes
+six steps at once, with one pass over the sources that sums for all the
+exponents in question. A budget that repeats all sources beyond the limit
+whatever the weights is an error.
 
 The weights are realised as block permutations. Documents of a source are dealt
-by hash into blocks of about ``block_docs``; an epoch of a source is all its
-blocks in an order drawn by hash for that epoch, and in each block its
-documents in an order drawn by hash. A source's stream of epochs is cut at its
-budget, its weight's part of all tokens wanted: a document is drawn while fewer
-tokens than that stand before it. Only sums of blocks are ever ordered beyond a
-block, so no task gets a source.
-
-A token is a run of anything but ASCII white space. Documents without tokens
-weigh nothing and are drawn with the blocks around them. Null sources are one
-source, the same as ''. Rows are drawn row by row: repeated rows are drawn each,
-and a null doc_id is drawn by the hash of ''. Sources without tokens are not
-drawn. An empty table gives an empty mixture.
+by hash into blocks of about ``block_docs``, and blocks into groups, as many as
+a group has blocks. An epoch of a source is all its groups in an order drawn by
+hash for that epoch, in each group its blocks, and in each block its documents,
+likewise. A source's stream of epochs is cut at its budget, its weight's part of
+all tokens wanted: a document is drawn while fewer tokens than that stand before
+it. Only sums of groups are ordered in a source, and sums of blocks in a group,
+so no task gets a source or all its blocks.
+
+A token is a run of anything but ASCII white space. Null and empty texts have no
+tokens; such documents weigh nothing and are drawn with the blocks around them.
+A text of any length is one draw. Null sources are one source, the same as ''.
+Rows are drawn row by row: repeated rows are drawn each, and rows that tie in
+doc_id come by their tokens and a hash of the row; a null doc_id is dealt by that
+hash. Sources without tokens are not drawn. Columns named epoch, tokens_before or
+mix_order are replaced; no other name clashes. An empty table gives an empty
+mixture.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shipping import checkpointed
 
@@ -50,34 +63,54 @@ def _with_source(rows: DataFrame, figures: DataFrame, few: bool) -> DataFrame:
 
 def source_weights(sources: DataFrame, budget_ratio: float, entropy_share: float, max_repeats: float) -> DataFrame:
     """sources (_s, docs, tokens) with exponent, weight and budget in tokens; sources without tokens go."""
-    one = (
-        sources.where("tokens > 0")
-        .groupBy()
-        .agg(F.sort_array(F.collect_list(F.struct("_s", "tokens", "docs"))).alias("all"), F.sum("tokens").alias("total"))
-        .withColumn("wanted", F.floor(F.col("total") * F.lit(budget_ratio)))
-        .withColumn("shares", F.expr("transform(all, x -> x.tokens / total)"))
-    )
-    norm = "aggregate(transform(shares, p -> pow(p, mid)), 0D, (t, x) -> t + x)"
-    weights = f"transform(array({norm}), z -> transform(shares, p -> pow(p, mid) / z))[0]"
-    entropy = "aggregate(ws, 0D, (t, w) -> t - w * ln(w))"
-    repeats = "array_max(zip_with(ws, all, (w, x) -> w * wanted / x.tokens))"
-    fits = f"transform(array({weights}), ws -> {entropy} <= {entropy_share}D * ln(size(shares)) + 1e-12D AND {repeats} <= {max_repeats}D)[0]"
-    half = f"transform(array((s.lo + s.hi) / 2), mid -> CASE WHEN {fits} THEN named_struct('lo', s.lo, 'hi', mid) ELSE named_struct('lo', mid, 'hi', s.hi) END)[0]"
-    return (
-        one.withColumn("mid", F.expr(f"aggregate(sequence(1, {STEPS}), named_struct('lo', 0D, 'hi', 1D), (s, i) -> {half}).hi"))
-        .withColumn("ws", F.expr(weights))
-        .select("mid", "wanted", F.explode(F.arrays_zip("all", "ws")).alias("x"))
-        .select(
-            F.col("x.all._s").alias("_s"),
-            F.col("x.all.docs").alias("_docs"),
-            F.col("x.all.tokens").alias("_tokens"),
-            F.col("mid").alias("exponent"),
-            F.col("x.ws").alias("weight"),
-            F.floor(F.col("x.ws") * F.col("wanted")).alias("budget"),
-        )
+    if budget_ratio > max_repeats:
+        raise ValueError(f"a budget of {budget_ratio} times the tokens repeats some source more than {max_repeats} times, whatever the weights")
+    some = sources.where("tokens > 0")
+    r = some.agg(F.sum("tokens").alias("total"), F.count("*").alias("n"), F.min("tokens").alias("least")).first()
+    total, wanted = r["total"] or 1, math.floor((r["total"] or 1) * budget_ratio)
+    share = F.col("tokens") / F.lit(total)
+
+    def sums(exponents: list[float]) -> dict[float, tuple[float, float]]:
+        """For each exponent the sums of share ** exponent, and of that times the share's logarithm."""
+        each = some.select(share.alias("p"), F.explode(F.array(*map(F.lit, exponents))).alias("x"))
+        found = each.groupBy("x").agg(F.sum(F.pow("p", "x")).alias("z"), F.sum(F.pow("p", "x") * F.ln("p")).alias("l"))
+        return {s["x"]: (s["z"], s["l"]) for s in found.collect()}  # a row an exponent
+
+    def fits(x: float, z: float, slope: float) -> bool:
+        repeats = (r["least"] / total) ** x / z * wanted / r["least"]  # the smallest source is repeated most
+        return math.log(z) - x * slope / z <= entropy_share * math.log(r["n"]) + 1e-12 and repeats <= max_repeats
+
+    low, high, steps = 0.0, 1.0, STEPS if r["n"] else 0
+    while steps:
+        at_once = min(6, steps)
+        parts = 1 << at_once
+        points = [low + (high - low) * i / parts for i in range(1, parts)]
+        found = sums(points)
+        good = next((i for i, x in enumerate(points) if fits(x, *found[x])), parts - 1)
+        low, high, steps = points[good - 1] if good else low, points[good] if good < parts - 1 else high, steps - at_once
+    z = sums([high]).get(high, (1.0, 0.0))[0]
+    weight = F.pow(share, F.lit(high)) / F.lit(z)
+    return some.select(
+        "_s",
+        F.col("docs").alias("_docs"),
+        F.col("tokens").alias("_tokens"),
+        F.lit(high).alias("exponent"),
+        weight.alias("weight"),
+        F.floor(weight * F.lit(wanted)).alias("budget"),
     )
 
 
+def _row_hash(docs: DataFrame) -> F.Column:
+    """A hash of all cells of a row that have one."""
+
+    def has(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return all(has(f.dataType) for f in kind)
+        return has(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
+
+    return F.xxhash64(F.lit(0), *(F.col(f"`{f.name}`") for f in docs.schema if has(f.dataType)))
+
+
 def mix_sources(
     docs: DataFrame,
     budget_ratio: float = 1.0,
@@ -95,11 +128,13 @@ def mix_sources(
     """
     count = F.col(tokens) if tokens else F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TOKENS))
     names = [c for c in docs.columns if c not in ("epoch", "tokens_before", "mix_order")]
+    same = _row_hash(docs)
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"),  # apart, so that no name of docs meets one of these
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_s"),
         F.coalesce(count, F.lit(0)).cast("long").alias("_n"),
-        _hash(F.lit(seed), F.col("doc_id")).alias("_h"),
+        _hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), same.cast("string")))).alias("_h"),
+        same.alias("_same"),
     )
     narrow = checkpointed(rows.select("_s", "_n", "_h"))  # for the figures: texts are not read again
     sources = narrow.groupBy("_s").agg(F.count("*").alias("docs"), F.sum("_n").alias("tokens"))
@@ -108,18 +143,25 @@ def mix_sources(
     block = F.pmod(F.col("_h"), F.ceil(F.col("_docs") / block_docs))
 
     sums = _with_source(narrow, figures, few).groupBy("_s", block.alias("_block")).agg(F.sum("_n").alias("_in_block"))
+    # a block's place: its epoch's, its group's and its own tokens before
+    group = F.pmod("_block", F.ceil(F.sqrt(F.ceil(F.col("_docs") / block_docs))))
     epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("budget") - 1) / F.col("_tokens"))))
-    order = Window.partitionBy("_s", "epoch").orderBy(_hash(F.lit(seed), F.col("_s"), F.col("epoch"), F.col("_block")), "_block")
-    before = F.col("epoch") * F.col("_tokens") + F.sum("_in_block").over(order) - F.col("_in_block")
+    figured = _with_source(sums.withColumn("_h", F.col("_block")), figures.where("budget > 0"), few)
+    blocks = checkpointed(figured.select("_s", "_block", group.alias("_group"), "_in_block", "_tokens", "budget", epochs.alias("epoch")))
+    drawn = lambda c: _hash(F.lit(seed), F.col("_s"), F.col("epoch"), F.lit(c[1:]), F.col(c))
+    of_epoch = Window.partitionBy("_s", "epoch").orderBy(drawn("_group"), "_group")
+    groups = blocks.groupBy("_s", "epoch", "_group").agg(F.sum("_in_block").alias("_in_group"))
+    groups = groups.select("_s", "epoch", "_group", (F.sum("_in_group").over(of_epoch) - F.col("_in_group")).alias("_base"))
+    of_group = Window.partitionBy("_s", "epoch", "_group").orderBy(drawn("_block"), "_block")
+    before = F.col("epoch") * F.col("_tokens") + F.col("_base") + F.sum("_in_block").over(of_group) - F.col("_in_block")
     placed = (
-        _with_source(sums.withColumn("_h", F.col("_block")), figures.where("budget > 0"), few)
-        .select("_s", "_block", "_in_block", "_tokens", "budget", epochs.alias("epoch"))
+        blocks.join(groups, ["_s", "epoch", "_group"])
         .withColumn("_before", before)
         .where("_before < budget")
         .groupBy("_s", "_block")
         .agg(F.collect_list(F.struct("epoch", "_before", "budget")).alias("_drawn"))
     )
-    inside = Window.partitionBy("_s", "_block").orderBy("_h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_s", "_block").orderBy("_h", "_n", "_same").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         _with_source(rows, figures.select("_s", "_docs"), few)
         .withColumn("_block", block)
@@ -161,16 +203,18 @@ figures AS (
          floor(pow(s.tokens / t.total, b.hi) / sum(pow(s.tokens / t.total, b.hi)) OVER () * t.total)::BIGINT AS budget
   FROM sources s, total t, bisect b WHERE b.i = {STEPS}),
 dealt AS (
-  SELECT d.*, f.tokens, f.budget, d.h % ceil(f.n_docs / 1000)::BIGINT AS block,
+  SELECT d.*, f.tokens, f.budget, f.n_docs, d.h % ceil(f.n_docs / 1000)::BIGINT AS block,
          sum(n_words) OVER (PARTITION BY d.s, d.h % ceil(f.n_docs / 1000)::BIGINT ORDER BY d.h ROWS UNBOUNDED PRECEDING) - n_words AS within
   FROM docs d JOIN figures f USING (s) WHERE f.budget > 0),
-blocks AS (SELECT s, block, sum(n_words) AS in_block, max(tokens) AS tokens, max(budget) AS budget FROM dealt GROUP BY s, block),
+blocks AS (SELECT s, block, block % ceil(sqrt(ceil(max(n_docs) / 1000)))::BIGINT AS grp, sum(n_words) AS in_block, max(tokens) AS tokens, max(budget) AS budget FROM dealt GROUP BY s, block),
+turns AS (SELECT *, unnest(range(0, (budget - 1) // tokens + 1)) AS epoch FROM blocks),
 placed AS (
   SELECT s, block, epoch,
          epoch * tokens + sum(in_block) OVER (
            PARTITION BY s, epoch
-           ORDER BY ('0x' || substr(md5('mix|' || s || '|' || epoch || '|' || block), 1, 15))::BIGINT, block ROWS UNBOUNDED PRECEDING) - in_block AS before
-  FROM (SELECT *, unnest(range(0, (budget - 1) // tokens + 1)) AS epoch FROM blocks))
+           ORDER BY ('0x' || substr(md5('mix|' || s || '|' || epoch || '|group|' || grp), 1, 15))::BIGINT, grp,
+                    ('0x' || substr(md5('mix|' || s || '|' || epoch || '|block|' || block), 1, 15))::BIGINT, block ROWS UNBOUNDED PRECEDING) - in_block AS before
+  FROM turns)
 SELECT d.doc_id, d.source, d.n_words, p.epoch, (p.before + d.within)::BIGINT AS tokens_before, ((p.before + d.within) / d.budget)::DOUBLE AS mix_order
 FROM dealt d JOIN placed p USING (s, block) WHERE p.before + d.within < d.budget
 """

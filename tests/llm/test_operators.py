@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tablefold.llm import (
     decontamination,
@@ -345,6 +346,18 @@ def test_mixing(docs, empty):
     assert rows(source_mixing.mix_sources(empty)) == []
 
 
+def test_mixing_does_not_depend_on_partitions_or_joins(spark, monkeypatch):
+    same = [(None, f"some words {i % 5}", "a", i) for i in range(40)] + [(7, f"x {'y ' * (i % 3)}", "b", i) for i in range(9)] + [(i, "one two three", f"s{i % 4}", i) for i in range(60)]
+    d = spark.createDataFrame(same, "doc_id long, text string, source string, _h int")
+    mix = lambda d: rows(source_mixing.mix_sources(d, budget_ratio=2.0, block_docs=3))
+    want = mix(d.coalesce(1))
+    assert mix(d.orderBy(F.desc("_h")).repartition(7)) == want
+    monkeypatch.setattr(source_mixing, "BROADCAST_SOURCES", 0)
+    assert mix(d.repartition(3)) == want
+    with pytest.raises(ValueError):
+        source_mixing.mix_sources(d, budget_ratio=8.0, max_repeats=4.0)
+
+
 def test_weights_meet_their_targets(spark):
     s = spark.createDataFrame([("a", 10, 9000), ("b", 10, 900), ("c", 10, 100), ("d", 3, 0)], "_s string, docs long, tokens long")
     w = {r._s: r for r in source_mixing.source_weights(s, 1.0, 0.9, 1e9).collect()}
@@ -352,6 +365,8 @@ def test_weights_meet_their_targets(spark):
     assert set(w) == {"a", "b", "c"} and abs(entropy - 0.9 * np.log(3)) < 1e-6
     w = {r._s: r for r in source_mixing.source_weights(s, 1.0, 1.0, 4.0).collect()}
     assert abs(w["c"].weight * 10_000 / 100 - 4) < 1e-6 and abs(sum(r.weight for r in w.values()) - 1) < 1e-9
+    w = {r._s: r for r in source_mixing.source_weights(s, 1.0, 0.1, 4.0).collect()}
+    assert {r.exponent for r in w.values()} == {1.0} and abs(w["a"].weight - 0.9) < 1e-12  # flatter than the target as they are
 
 
 def test_pii(docs, empty, spark):
