@@ -10,8 +10,12 @@ interval join over cells of ``scope`` characters: a secret stands in all cells
 that it touches with ``scope`` characters more on both sides, a partner in those
 of its own span, so that two parts in scope share a cell however long they are.
 
-Positions are code points, ends exclusive. Null and empty texts have no spans.
-Every row gives one row; rows that repeat doc_id and text get equal spans.
+Positions are code points, ends exclusive. Null and empty texts have no spans,
+and texts and matches may be of any length. Every row gives one row; rows that
+repeat doc_id and text get equal spans, rows that repeat a doc_id with another
+text their own. Spans that tie in their start come by kind. Other columns are
+ignored, or handed on whole by ``redact_secrets``, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +33,12 @@ STRONG = {
 }
 WEAK = {
     "identifier": (r"""\b(?i:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]+)""", 1, 3),
-    "value": (r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,200}[0-9])(?=[A-Za-z0-9+/]{0,200}[a-z])(?=[A-Za-z0-9+/]{0,200}[A-Z])[A-Za-z0-9+/]{32,}={0,2}", 0, 32),
+    "value": (r"[A-Za-z0-9+/]{32,}={0,2}", 0, 32),
     "endpoint": (r"(?:https?|ftp|jdbc:\w+|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])(?::[0-9]{2,5})?", 0, 7),
 }
 KINDS = [*STRONG, *WEAK]
+#: What a match of a kind must hold besides: a value has a digit, a small and a capital letter somewhere.
+HOLDS = {"value": ("[0-9]", "[a-z]", "[A-Z]")}
 SECRETS = ("assign", "hex", "value")
 _SPANS = "array<struct<start:int,rank:int,end:int>>"
 
@@ -50,9 +56,12 @@ def _spans(text: Column, kind: str) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"))
+        counts = F.length(x["long"]) >= least
+        for some in HOLDS.get(kind, ()):
+            counts = counts & F.regexp_like(x["hit"], F.lit(some))
         return F.struct(
             end.alias("at"),
-            F.when(F.length(x["long"]) >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"),
+            F.when(counts, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"),
         )
 
     zipped = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), long.alias("long"))

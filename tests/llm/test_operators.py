@@ -269,10 +269,12 @@ def test_parts_in_scope_meet_at_every_offset_and_length(spark):
 
     texts = [gap(o) + f"{first}{gap(d)}{second}" for o in range(1, 402, 7) for d in (150, 183, 199, 200, 201) for first, second in ((identifier, value), (value, identifier))]
     texts += [gap(o) + f"{first}{gap(d)}{second}" for o in range(1, 202, 23) for d in (10, 199, 200, 201) for first, second in ((url, value), (value, url), (key, identifier), (identifier, key), (key, url), (url, key))]
+    texts += [f"{identifier} {"z" * 300}B7", f"{identifier} {"z" * 300} b", f"{identifier} {"B7" * 30}"]
     patterns = {k: re.compile(p.replace("\\x20", " ")) for k, (p, *_) in secret_scan.WEAK.items()}
 
     def plain(text):
-        parts = [(m.start(), secret_scan.KINDS.index(k), m.end()) for k, p in patterns.items() for m in p.finditer(text)]
+        mixed = lambda t: re.search("[0-9]", t) and re.search("[a-z]", t) and re.search("[A-Z]", t)
+        parts = [(m.start(), secret_scan.KINDS.index(k), m.end()) for k, p in patterns.items() for m in p.finditer(text) if k != "value" or mixed(m[0])]
         rank = secret_scan.KINDS.index("value")
         near = lambda a, b: max(a[0], b[0]) >= min(a[2], b[2]) and max(a[0], b[0]) - min(a[2], b[2]) <= 200
         return sorted(a for a in parts if any((a[1] == rank) != (b[1] == rank) and near(a, b) for b in parts))
