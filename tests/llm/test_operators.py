@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -218,6 +218,36 @@ def test_one_edit_leaves_an_item_found():
         assert [(row, item) for row, item, *_ in hits] == [(i, 0) for i in range(len(near))]
 
 
+def plain_bm25(items: dict[int, list[str]], words: list[str], k1=1.2, b=0.75) -> dict[int, float]:
+    """The best share of each item's own BM25 score over the text's passages, two strides of the item's length class."""
+    n, mean = len(items), np.mean([len(w) for w in items.values()])
+    df = Counter(x for w in items.values() for x in set(w))
+    out = {}
+    for i, w in items.items():
+        tf = Counter(w)
+        impact = {x: np.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(w) / mean)) for x, c in tf.items()}
+        stride = 8 if len(w) <= 8 else 64
+        passages = [set(words[at : at + 2 * stride]) for at in range(0, len(words), stride)]
+        out[i] = max(sum(v for x, v in impact.items() if x in p) for p in passages) / sum(impact.values())
+    return out
+
+
+def test_scores_are_those_of_plain_bm25_whatever_the_shards(spark):
+    """Passages of texts that are one passage each, against BM25 over all items in plain Python, in one index and in many."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = {i: [vocabulary[x] for x in (rng.zipf(1.3, rng.integers(6, 40)) % 400)] for i in range(120)}
+    texts = {i: [w if rng.random() > 0.1 else "odd" for w in items[i]] + [vocabulary[x] for x in rng.integers(0, 400, 5)] for i in range(0, 120, 3)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    found = [{(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(d.repartition(p), bench, 0.6, 0.0, 0.0, *how).collect()} for p, how in ((1, ()), (3, (700, 1 << 20)), (2, (700, 1000)))]
+    want = {(d, i): s for d, w in texts.items() for i, s in plain_bm25(items, w).items() if s >= 0.6}
+    for got in found:
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    left = decontamination.without_benchmark(d, bench, 0.6, 0.0, 0.0, 700, 1000)
+    assert {r.doc_id for r in left.collect()} == set(texts) - {k for k, _ in want}
+
+
 def test_block_pruning_loses_nothing(spark):
     texts = [prose(i, 30) for i in range(300)]
     index = decontamination.Index(list(range(300)), texts)
