@@ -1,7 +1,8 @@
 """A logistic regression over hashed features, fitted by follow-the-regularised-leader updates.
 
-Only fitting sees labels, and only a sample of labelled rows whose size is a
-parameter. Fitting is one task over that bounded sample, in a fixed order, so a
+Only fitting sees labels, and only a sample of labelled rows. Two parameters bound
+it, its rows and the bytes of their texts (whole texts: rows are left out, texts
+aren't cut). Fitting is one task over that bounded sample, in a fixed order, so a
 repeated attempt gives the same weights; scoring runs in every task with the
 weights broadcast (their number is the parameter ``bits``).
 """
@@ -12,11 +13,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
+from .shipping import checkpointed
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -24,10 +26,12 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(order, text, y) of at most ``most`` documents with a label, drawn by a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int) -> DataFrame:
+    """(order, doc_id, text, y) of at most ``most`` documents with a label and ``most_bytes`` of text, drawn by a hash of doc_id.
 
-    Labels of one document that contradict each other count as their mean, halves up.
+    Labels of one document that contradict each other count as their mean,
+    halves up. A document counts once, with its least text. A text that alone is
+    beyond an eighth of ``most_bytes`` is left out.
     """
     drawn = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -37,8 +41,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
         .orderBy("order", "doc_id")
         .limit(most)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(drawn), "doc_id").select("order", "doc_id", "text", "y")  # at most ``most`` rows
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    of_docs = texts.join(F.broadcast(drawn), "doc_id").where(F.octet_length("text") <= most_bytes // 8)  # at most ``most`` ids
+    once = checkpointed(of_docs.groupBy("doc_id", "order", "y").agg(F.min("text").alias("text")))
+    # the figures of at most ``most`` rows are added up in one place, their texts are not
+    before = Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = once.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(drawn.select("doc_id", "order")), "doc_id")
+    fits = fits.withColumn("sum", F.sum("size").over(before)).where(F.col("sum") <= most_bytes).select("doc_id")
+    return once.join(F.broadcast(fits), "doc_id").select("order", "doc_id", "text", "y")
 
 
 def ftrl(
@@ -93,7 +104,7 @@ def features(sample: DataFrame, featurise: Featurise) -> DataFrame:
 
 
 def fit(featured: DataFrame, train: Callable[[list[tuple[np.ndarray, np.ndarray, float]]], np.ndarray]) -> np.ndarray:
-    """The weights that ``train`` makes of all rows of the bounded sample, in one task."""
+    """The weights that ``train`` makes of all rows of the bounded sample, in one task whose memory follows from its bounds."""
 
     def run(batches):
         rows = []

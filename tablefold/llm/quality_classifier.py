@@ -7,8 +7,10 @@ cell 0 whatever their tokens, and tokens equal to the one before in cell 1. A
 score is the dot product of shares and weights, through the logistic function.
 
 Null and empty texts have no features: their score is that of the intercept.
-Every row of the input gives one row, repeated rows equal ones; extra columns
-are ignored. With no labelled rows all scores are 0.5.
+Texts of any length are scored whole. Every row of the input gives one row with
+its columns (one named score is replaced), repeated rows equal ones, whatever
+rows stand around them. Labels that tie count as 1. With no labelled rows all
+scores are 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -58,9 +60,9 @@ def featurise(bits: int, orders: tuple[int, ...]):
     return run
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000, bits: int = 18, orders: tuple[int, ...] = (1, 2)) -> np.ndarray:
-    """Weights fitted on at most ``max_rows`` labelled documents."""
-    sample = linear.labelled_sample(docs, labels, label, max_rows)
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000, max_bytes: int = 96 << 20, bits: int = 18, orders: tuple[int, ...] = (1, 2)) -> np.ndarray:
+    """Weights fitted on at most ``max_rows`` labelled documents with at most ``max_bytes`` of text."""
+    sample = linear.labelled_sample(docs, labels, label, max_rows, max_bytes)
 
     def train(rows):
         return linear.ftrl(rows, 1 << bits, epochs=3, alpha=0.5, l1=0.05, l2=0.01)

@@ -17,8 +17,11 @@ anchors, and one anchor serves some dozen windows in a row (a segment).
 Identical segments go as one row from each task, with the least doc_id, before
 any shuffle: a passage that a third of all documents share comes down to a row
 for each task. Documents are keyed by doc_id and text hash, so
-repeated rows get repeated results. Null texts have no words. A null doc_id is
-larger than any other: its row never removes words from others.
+repeated rows get repeated results. Null and empty texts have no words, and texts
+of any length are compared whole. Of windows that tie in doc_id, as in repeated
+rows or in one text, none removes the other. A null doc_id is larger than any
+other: its row never removes words from others. Other columns are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -233,9 +236,11 @@ def repeated_windows(docs: DataFrame, width: int = 50, gram: int = 25, cells_per
         _candidates(width, gram, bits, sketch), "doc_id long, text_hash long, pos int, anchor long, windows array<long>, mask long"
     )
     offset = F.posexplode_outer("windows").alias("i", "window")
-    by = Window.partitionBy("anchor", "window")
     order_id = F.coalesce("doc_id", F.lit(_LAST))
     decided = F.col("window").isNull()
+    # segments that a task has decided have no window to be compared by, and spread over all tasks
+    spread = F.when(decided, F.xxhash64("doc_id", "text_hash", "pos"))
+    by = Window.partitionBy("anchor", "window", spread)
     return (
         sent.select("doc_id", "text_hash", "pos", "mask", "anchor", offset)
         .withColumn("least", F.min(order_id).over(by))

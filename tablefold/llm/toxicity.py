@@ -1,13 +1,16 @@
 """Toxicity: character n-grams scaled by naive Bayes log-count ratios, under a linear classifier.
 
 Texts are lower-cased in A-Z, and white space counts as a blank. A feature is
-the presence of a run of 3 to 6 bytes, hashed to 2**bits cells; its value is
-the log ratio of its smoothed document counts in either class, and the weights
+the presence of a run of 3 to 6 characters (code points), hashed to 2**bits
+cells; its value is the log ratio of its smoothed document counts in either class, and the weights
 on those values are fitted by follow-the-regularised-leader. What is scored
 with is the product of weight and ratio, which the L1 term leaves sparse.
 
-Null and empty texts have no features: their score is that of the intercept.
-Every row gives one row, repeated rows equal ones; extra columns are ignored.
+Null and empty texts, and those of fewer characters than a run, have no features:
+their score is that of the intercept. Texts of any length are scored whole. Every
+row gives one row with its columns (one named score is replaced), repeated rows
+equal ones, whatever rows stand around them. Labels that tie count as 1. With no
+labelled rows all scores are 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,16 +33,27 @@ def _fold() -> np.ndarray:
     return table
 
 
-def _ids(data: np.ndarray, bits: int, orders: tuple[int, ...]):
-    """For each order, the feature id of the run that starts at each byte."""
-    key = data.astype(np.uint64)
-    wide = key
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each character of UTF-8 bytes as the number that its bytes make, and the offsets of texts in characters."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(np.append(at, len(data)))
+    out = data[at].astype(np.uint64)
+    for k in (1, 2, 3):
+        wide = np.flatnonzero(size > k)
+        if len(wide):
+            out[wide] |= data[at[wide] + k].astype(np.uint64) << np.uint64(8 * k)
+    return out, np.searchsorted(at, offsets)
+
+
+def _ids(chars: np.ndarray, bits: int, orders: tuple[int, ...]):
+    """For each order, the feature id of the run that starts at each character."""
+    key = chars
     for k in range(2, max(orders) + 1):
-        if len(data) < k:
+        if len(chars) < k:
             return
-        key = key[:-1] | (wide[k - 1 :] << np.uint64(8 * (k - 1)))
+        key = key[:-1] * np.uint64(0xD1B54A32D192ED03) + chars[k - 1 :]
         if k in orders:
-            yield k, ((key + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+            yield k, tk.mix64(key + np.uint64(k)) >> np.uint64(64 - bits)
 
 
 def featurise(bits: int, orders: tuple[int, ...]):
@@ -47,9 +61,9 @@ def featurise(bits: int, orders: tuple[int, ...]):
 
     def run(column):
         data, offsets = tk.raw(column)
-        data = _fold()[data]
+        chars, offsets = characters(_fold()[data], offsets)
         for a, b in zip(offsets[:-1], offsets[1:]):
-            ids = [x for _, x in _ids(data[a:b], bits, orders)]
+            ids = [x for _, x in _ids(chars[a:b], bits, orders)]
             ids = np.unique(np.concatenate(ids)) if ids else np.zeros(0, np.uint64)
             yield ids, np.ones(len(ids))
 
@@ -70,9 +84,9 @@ def log_ratios(rows, size: int, smooth: float = 50.0) -> np.ndarray:
     return np.log(p) - np.log(q)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 8_000, bits: int = 20, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
-    """Scoring weights (the last one is the intercept) from at most ``max_rows`` labelled documents."""
-    sample = linear.labelled_sample(docs, labels, label, max_rows)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 8_000, max_bytes: int = 32 << 20, bits: int = 20, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
+    """Scoring weights (the last one is the intercept) from at most ``max_rows`` labelled documents with at most ``max_bytes`` of text."""
+    sample = linear.labelled_sample(docs, labels, label, max_rows, max_bytes)
 
     def train(rows):
         r = log_ratios(rows, 1 << bits)
@@ -86,13 +100,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_r
 def _score(weights, bits, orders, names):
     def run(batches):
         w = weights.value
+        weighs = w[:-1] != 0
         fold = _fold()
         for batch in tk.steps(batches, "text"):
             data, offsets = tk.raw(tk.column(batch, "text"))
+            chars, offsets = characters(fold[data], offsets)
             n = batch.num_rows
             hits = [np.zeros(0, np.int64)]
-            for k, ids in _ids(fold[data], bits, orders):
-                at = np.flatnonzero(w[ids])
+            for k, ids in _ids(chars, bits, orders):
+                at = np.flatnonzero(weighs[ids])
                 doc = np.searchsorted(offsets, at, "right") - 1
                 at, doc = (x[at + k <= offsets[doc + 1]] for x in (at, doc))
                 hits.append((doc << bits) | ids[at].astype(np.int64))

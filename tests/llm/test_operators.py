@@ -479,8 +479,60 @@ def test_toxicity(spark, docs, empty):
     out = toxicity.score_toxicity(docs, weights).collect()
     assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
     assert rows(toxicity.score_toxicity(empty, weights)) == []
+    none = toxicity.fit_toxicity(empty, d.select("doc_id", "toxic").limit(0))
+    assert {r.score for r in toxicity.score_toxicity(docs, none).collect()} == {0.5}
 
 
 def test_samples_are_bounded(spark):
     d = labelled(spark, 100)
-    assert linear.labelled_sample(d, d.select("doc_id", "quality"), "quality", 7).count() == 7
+    labels = d.select("doc_id", "quality")
+    assert linear.labelled_sample(d, labels, "quality", 7, 1 << 20).count() == 7
+    some = linear.labelled_sample(d.repartition(5), labels, "quality", 90, 9_000).collect()
+    assert 10 < len(some) < 90 and sum(len(r.text.encode()) for r in some) <= 9_000
+    assert {r.doc_id for r in some} == {r.doc_id for r in linear.labelled_sample(d.coalesce(1), labels, "quality", 90, 9_000).collect()}
+
+
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2):
+    """The updates one number at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y) * x[i]
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_regression_equals_plain_updates():
+    rng = np.random.default_rng(3)
+    data = [(np.sort(rng.choice(50, 6, replace=False)), rng.random(6), float(rng.random() < 0.4)) for _ in range(80)]
+    how = {"epochs": 3, "alpha": 0.4, "beta": 1.0, "l1": 0.05, "l2": 0.01}
+    got = linear.ftrl(data, 50, **how)
+    want = plain_ftrl([({**dict(zip(ids.tolist(), v)), 50: 1.0}, y) for ids, v, y in data], **how)
+    assert np.allclose(got, [want.get(i, 0.0) for i in range(51)], atol=1e-12)
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    """N-grams of characters in several scripts, log ratios of documents' counts and dot products, one at a time."""
+    texts = ["Ein ÜBLER Tag, übler\tTag", "добрый день, добрый", "bad bad day", "ab", "", None, "a good day 😀😀 ok", "злой день"]
+    y = [1, 0, 1, 0, 0, 0, 0, 1]
+
+    def plain(t):
+        t = re.sub("[\t-\r]", " ", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {t[i : i + k] for k in toxicity.ORDERS for i in range(len(t) - k + 1)}
+
+    feats = [ids for ids, _ in toxicity.featurise(20, toxicity.ORDERS)(pa.array(texts))]
+    assert [len(f) for f in feats] == [len(plain(t)) for t in texts]  # no two of so few meet in a cell
+    alone = [list(toxicity.featurise(20, toxicity.ORDERS)(pa.array([t])))[0][0] for t in texts]
+    assert all(np.array_equal(a, b) for a, b in zip(feats, alone))
+    ratios = toxicity.log_ratios([(f, None, float(v)) for f, v in zip(feats, y)], 1 << 20, 2.0)
+    day = next(iter(set(feats[2].tolist()) & set(feats[6].tolist())))  # in one text of 3 of class 1, and of 5 of class 0
+    assert abs(ratios[day] - np.log((1 + 2 * 3 / 8) / 3) + np.log((1 + 2 * 5 / 8) / 5)) < 1e-6
+    w = np.random.default_rng(1).normal(size=(1 << 20) + 1) * (np.random.default_rng(2).random((1 << 20) + 1) > 0.5)
+    d = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, score int").repartition(3)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(d, w).collect()}
+    assert all(abs(got[i] - 1 / (1 + np.exp(-(w[f].sum() + w[-1])))) < 1e-9 for i, f in enumerate(feats))
