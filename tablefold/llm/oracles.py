@@ -32,7 +32,7 @@ FROM w JOIN classes USING (doc_id) LEFT JOIN sets USING (doc_id) LEFT JOIN copie
 """
 
 
-def quality_rules_sql(rules: dict[str, tuple[str, str]] = quality_rules.RULES, rounds: int = 30) -> str:
+def quality_rules_sql(rules: dict[str, tuple[str, str]] = quality_rules.RULES, rounds: int = 50) -> str:
     n = len(rules)
     votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for bad, good in rules.values())
     part = lambda v, good, bad: f"list_product(list_transform(range(1, {n + 1}), lambda j: CASE {v}[j] WHEN 1 THEN {good} WHEN -1 THEN {bad} ELSE 1::DOUBLE END))"
@@ -41,10 +41,13 @@ def quality_rules_sql(rules: dict[str, tuple[str, str]] = quality_rules.RULES, r
     q = lambda v: f"({good(v)} / ({good(v)} + {bad(v)}))"
     total = lambda x: f"list_sum(list_transform(w, lambda x: {x}))"
 
-    def accuracy(start: float, share: str, vote: int, low: float, high: float) -> str:
+    inside = lambda x: f"least({1 - 1e-6}::DOUBLE, greatest(1e-6::DOUBLE, {x}))"
+    start_keeps, start_finds, start_good, weight = quality_rules.KEEPS, quality_rules.FINDS, quality_rules.GOOD, quality_rules.WEIGHT / 100
+
+    def accuracy(start: float, share: str, vote: int) -> str:
         said = total(f"x.n * {share} * CASE WHEN x.v[j] = {vote} THEN 1 ELSE 0 END")
         cast = total(f"x.n * {share} * abs(x.v[j])")
-        return f"list_transform(range(1, {n + 1}), lambda j: least({high}, greatest({low}, ({20 * start} + {said}) / (20 + {cast})))::DOUBLE)"
+        return f"list_transform(range(1, {n + 1}), lambda j: {inside(f'(m * {start} + {said}) / (m + {cast})')})"
 
     return rf"""
 WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws FROM documents),
@@ -59,12 +62,12 @@ counted AS (
          len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals, len(regexp_extract_all(text, '[!-/:-@\[-`{{-~]')) AS n_marks
   FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS lines FROM t) LEFT JOIN repeats r USING (doc_id)),
 voted AS (SELECT *, [{votes}] AS v FROM counted),
-patterns AS (SELECT list({{'v': v, 'n': n}} ORDER BY v) AS p FROM (SELECT v, count(*)::DOUBLE AS n FROM voted GROUP BY v)),
+patterns AS (SELECT list({{'v': v, 'n': n}} ORDER BY v) AS p, 1 + sum(n) * {weight}::DOUBLE AS m FROM (SELECT v, count(*)::DOUBLE AS n FROM voted GROUP BY v)),
 em AS (
-  SELECT 0 AS i, 0.8::DOUBLE AS prior, list_transform(range({n}), lambda x: 0.995::DOUBLE) AS keeps, list_transform(range({n}), lambda x: 0.3::DOUBLE) AS finds
+  SELECT 0 AS i, {start_good}::DOUBLE AS prior, list_transform(range({n}), lambda x: {start_keeps}::DOUBLE) AS keeps, list_transform(range({n}), lambda x: {start_finds}::DOUBLE) AS finds
   UNION ALL
-  SELECT i + 1, least(0.99, greatest(0.5, {total("x.n * x.q")} / {total("x.n")}))::DOUBLE, {accuracy(0.995, "x.q", 1, 0.99, 0.999)}, {accuracy(0.3, "(1 - x.q)", -1, 0.05, 0.95)}
-  FROM (SELECT em.*, list_transform(p, lambda x: {{'v': x.v, 'n': x.n, 'q': {q("x.v")}}}) AS w FROM em, patterns WHERE i < {rounds})),
+  SELECT i + 1, {inside(f"(m * {start_good} + {total('x.n * x.q')}) / (m + {total('x.n')})")}, {accuracy(start_keeps, "x.q", 1)}, {accuracy(start_finds, "(1 - x.q)", -1)}
+  FROM (SELECT em.*, m, list_transform(p, lambda x: {{'v': x.v, 'n': x.n, 'q': {q("x.v")}}}) AS w FROM em, patterns WHERE i < {rounds})),
 judged AS (SELECT voted.*, {q("v")} AS posterior, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM voted, em WHERE i = {rounds})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept FROM judged
 """

@@ -7,8 +7,10 @@ turn the posterior of each pattern under the prior and the rules' accuracies,
 and these from the posteriors. A document is kept by its posterior, not by
 passing every rule.
 
-Null and empty texts have no words. Every row gives one row, repeated rows
-equal ones; an empty table gives an empty result.
+Null and empty texts have no words; texts of any length are counted whole. Every
+row gives one row, repeated rows equal ones. A posterior that ties with the
+threshold is good. Only doc_id and text are read, so names of other columns don't
+matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -107,30 +109,47 @@ def _posterior(votes: str, state: str) -> str:
     return f"({good} / ({good} + (1 - {state}.prior) * {part('1 - z.finds', 'z.finds')}))"
 
 
-def posteriors(voted: DataFrame, rules: int, rounds: int = 30) -> DataFrame:
-    """(votes, posterior) for each pattern of the column votes, by expectation-maximisation.
+#: What is known of rules and texts beforehand: how often a rule passes a good text, how often it fails a bad
+#: one (bad texts break a rule or two of many), and the share of good texts; with the weight of that many of 100 texts.
+KEEPS, FINDS, GOOD, WEIGHT = 0.99, 0.3, 0.85, 1
+
+
+def posteriors(voted: DataFrame, rules: int, rounds: int = 50) -> DataFrame:
+    """(votes, posterior, prior, keeps, finds) for each pattern of the column votes, by expectation-maximisation.
 
     A rule has two accuracies: how often its vote on a good text is good
-    (keeps) and how often that on a bad one is bad (finds). They start at 0.995
-    and 0.3 with the weight of 20 votes, as a bad text breaks a rule or two of
-    many, and stay within 0.99..0.999 and 0.05..0.95, so that no rule turns
-    against its own sense.
+    (keeps) and how often that on a bad one is bad (finds). They and the share
+    of good texts (prior) have beta priors of WEIGHT hundredths of all texts, so
+    that rules start in their own sense and differ by what the votes say. The
+    priors' part is the same at every size; nothing else holds the estimates.
     """
     pattern = voted.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
     one = pattern.groupBy().agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("p"))  # 3 ** rules rows at most
+    one = one.withColumn("m", F.expr(f"1 + aggregate(p, 0D, (t, x) -> t + x.n) * {WEIGHT / 100}D"))
     q = f"transform(p, x -> named_struct('votes', x.votes, 'n', x.n, 'q', {_posterior('x.votes', 's')}))"
+    inside = lambda x: f"least({1 - 1e-6}D, greatest(1e-6D, {x}))"
 
-    def accuracy(start: float, share: str, vote: int, low: float, high: float) -> str:
-        said = f"aggregate(w, {20 * start}D, (t, x) -> t + x.n * {share} * CASE WHEN x.votes[j] = {vote} THEN 1 ELSE 0 END)"
-        cast = f"aggregate(w, 20D, (t, x) -> t + x.n * {share} * abs(x.votes[j]))"
-        return f"transform(sequence(0, {rules - 1}), j -> least({high}D, greatest({low}D, {said} / {cast})))"
+    def accuracy(start: float, share: str, vote: int) -> str:
+        said = f"aggregate(w, m * {start}D, (t, x) -> t + x.n * {share} * CASE WHEN x.votes[j] = {vote} THEN 1 ELSE 0 END)"
+        cast = f"aggregate(w, m, (t, x) -> t + x.n * {share} * abs(x.votes[j]))"
+        return f"transform(sequence(0, {rules - 1}), j -> {inside(f'{said} / {cast}')})"
 
-    keeps, finds = accuracy(0.995, "x.q", 1, 0.99, 0.999), accuracy(0.3, "(1 - x.q)", -1, 0.05, 0.95)
-    prior = "least(0.99D, greatest(0.5D, coalesce(try_divide(aggregate(w, 0D, (t, x) -> t + x.n * x.q), aggregate(w, 0D, (t, x) -> t + x.n)), 0.8D)))"
+    keeps, finds = accuracy(KEEPS, "x.q", 1), accuracy(FINDS, "(1 - x.q)", -1)
+    prior = inside(f"aggregate(w, m * {GOOD}D, (t, x) -> t + x.n * x.q) / aggregate(w, m, (t, x) -> t + x.n)")
     update = f"element_at(transform(array({q}), w -> named_struct('prior', {prior}, 'keeps', {keeps}, 'finds', {finds})), 1)"
-    first = f"named_struct('prior', 0.8D, 'keeps', array_repeat(0.995D, {rules}), 'finds', array_repeat(0.3D, {rules}))"
+    first = f"named_struct('prior', {GOOD}D, 'keeps', array_repeat({KEEPS}D, {rules}), 'finds', array_repeat({FINDS}D, {rules}))"
     learned = one.withColumn("s", F.expr(f"aggregate(sequence(1, {rounds}), {first}, (s, i) -> {update})"))
-    return learned.select("s", F.explode("p").alias("x")).select(F.col("x.votes").alias("votes"), F.expr(_posterior("x.votes", "s")).alias("posterior"), "s")
+    return learned.select("s", F.explode("p").alias("x")).select(F.col("x.votes").alias("votes"), F.expr(_posterior("x.votes", "s")).alias("posterior"), "s.*")
+
+
+def accuracies(voted: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
+    """(rule, keeps, finds, overruled): each rule's estimated accuracies, and how many texts are good though it failed them."""
+    learned = posteriors(voted, len(rules))
+    both = voted.groupBy("votes").agg(F.count("*").alias("texts")).join(F.broadcast(learned), "votes")  # 3 ** rules rows at most
+    names = F.array(*(F.lit(r) for r in rules))
+    each = both.select("texts", "posterior", F.explode(F.arrays_zip(names.alias("rule"), "votes", "keeps", "finds")).alias("x")).select("texts", "posterior", "x.*")
+    over = F.sum(F.when((F.col("votes") == -1) & (F.col("posterior") >= 0.5), F.col("texts")).otherwise(0))
+    return each.groupBy("rule").agg(F.first("keeps").alias("keeps"), F.first("finds").alias("finds"), over.alias("overruled"))
 
 
 def judge(docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES, least: float = 0.5) -> DataFrame:

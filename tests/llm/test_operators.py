@@ -349,10 +349,26 @@ def test_expectation_maximisation(spark):
         vote = np.where(rng.random(4) < (keeps if good else 1 - finds), 1, -1)
         votes.append((good, [int(v) if rng.random() > 0.1 else 0 for v in vote]))
     d = spark.createDataFrame(votes, "good boolean, votes array<int>")
-    p = {tuple(r.votes): r.posterior for r in quality_rules.posteriors(d, 4).collect()}
+    learned = {tuple(r.votes): r for r in quality_rules.posteriors(d, 4).collect()}
+    p = {v: r.posterior for v, r in learned.items()}
     right = np.mean([(p[tuple(v)] >= 0.5) == g for g, v in votes])
     strict = np.mean([(min(v) >= 0) == g for g, v in votes])
     assert right >= strict - 0.005 and p[1, 1, 1, 1] > 0.9 and p[-1, -1, 1, 1] < 0.5
+    # the estimates are those of a plain version, and near the rates that the votes were drawn by
+    patterns, n = np.unique([v for _, v in votes], axis=0, return_counts=True)
+    k, f, prior, m = np.full(4, quality_rules.KEEPS), np.full(4, quality_rules.FINDS), quality_rules.GOOD, 1 + 4000 * quality_rules.WEIGHT / 100
+    for _ in range(50):
+        good = prior * np.prod(np.where(patterns == 1, k, np.where(patterns == -1, 1 - k, 1)), axis=1)
+        bad = (1 - prior) * np.prod(np.where(patterns == 1, 1 - f, np.where(patterns == -1, f, 1)), axis=1)
+        q = good / (good + bad)
+        k = (m * quality_rules.KEEPS + (n * q) @ (patterns == 1)) / (m + (n * q) @ (patterns != 0))
+        f = (m * quality_rules.FINDS + (n * (1 - q)) @ (patterns == -1)) / (m + (n * (1 - q)) @ (patterns != 0))
+        prior = (m * quality_rules.GOOD + n @ q) / (m + n.sum())
+    one = next(iter(learned.values()))
+    assert np.allclose(one.keeps, k, atol=1e-9) and np.allclose(one.finds, f, atol=1e-9) and abs(one.prior - prior) < 1e-9
+    assert np.allclose(one.keeps, keeps, atol=0.01) and np.allclose(one.finds, finds, atol=0.12)
+    told = {r.rule: r for r in quality_rules.accuracies(d, dict.fromkeys("abcd")).collect()}
+    assert told["b"].overruled == sum(v[1] == -1 and p[tuple(v)] >= 0.5 for _, v in votes)
 
 
 def test_mixing(docs, empty):
