@@ -1,24 +1,34 @@
 """Surrogates for personal data: keyed, of the same type and format, and distinct.
 
 Detected are e-mail addresses, IPv4 addresses, payment card numbers, phone
-numbers, US social security numbers and titled names. An entity's surrogate is
-drawn by a keyed hash (HMAC-SHA-256) of its type, its canonical form and an
-attempt number, so that every mention of it, in whatever document, gets the
-same one (coreference). Digits stay digits, separators and letter case stay
-where they are, a card number keeps its issuer digit and Luhn check, private
-addresses stay private, and a name keeps its gender (by title or first name) and
-its script.
-
-Distinctness is checked over all entities of the corpus: of those of one type
-that draw one surrogate, the first by hash keeps it, the others draw again with
-the next attempt, until no two entities share one and none is another entity's
-own form. Entities that needed more than the first attempt are few, as the
-surrogates are drawn from large ranges; they are broadcast to the rewriting
-pass if they are no more than ``broadcast_rows``, and otherwise joined to the
-documents that hold them.
-
-Null texts stay null, empty texts empty. Every row gives one row, with all its
-columns; repeated rows get equal ones.
+numbers, US social security numbers, and names: titled ones, and in the same text
+also without a title, whole or in part. Every mention of an entity, in whatever
+document, gets the same surrogate (coreference), as it depends on the entity and
+the key alone: on a number, an address, a surname, or a given name and its gender
+(by its title, else by a list of names, else by its ending). So "Mr. John Smith",
+"Mr. Smith" and "John" of one text agree.
+
+Numbers are mapped by a keyed permutation of those of their format without fixed
+points: distinct numbers have distinct surrogates, however many there are, and
+none is its own. Separators stay where they are, a card keeps its issuer digit
+and whether its check digit is right, a phone number its country part and first
+digit, an address its private block. (A surrogate may be a number that another
+entity has; only names and e-mail addresses are kept apart from all own forms.)
+
+Names and the local parts of addresses are drawn by a keyed hash, letter for
+letter in an address's local part (case, digits and separators stay), by gender
+and script in names. Distinctness is checked over all entities of the corpus: of
+those of one type that draw one surrogate, the first by hash keeps it, the others
+draw again from a longer range, until no two entities share one and none is
+another entity's own form. Entities that needed more than one draw are few; they
+are broadcast to the rewriting pass if they are no more than ``broadcast_rows``,
+and otherwise joined to the documents that hold them.
+
+Null texts stay null, empty texts empty; patterns take time in proportion to a
+text's length, of whatever make. Every row gives one row, with all its columns
+(those named n_entities and entity_spans are replaced); repeated rows get equal
+ones. Of entities that overlap the first counts, of those that begin together the
+longest. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +36,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,44 +47,120 @@ from . import textkit as tk
 from .shipping import checkpointed
 
 FIRST = {
-    ("f", "latin"): ["Ana", "Bea", "Clara", "Dora", "Elin", "Freya", "Greta", "Hanna", "Ines", "Julia", "Karla", "Lena", "Mira", "Nora", "Olga", "Paula"],
-    ("m", "latin"): ["Aron", "Ben", "Carlo", "David", "Emil", "Felix", "Gustav", "Henri", "Ivo", "Jonas", "Karl", "Leon", "Milan", "Niklas", "Oskar", "Pablo"],
-    ("f", "cyrillic"): ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"],
-    ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Иван", "Лев", "Олег", "Павел"],
+    ("f", "latin"): "Ana Anna Alice Bea Carla Clara Dora Elin Emma Eva Freya Greta Hanna Ines Jane Julia Karla Laura Lena Lucy Maria Marie Mary Mira Nina Nora Olga Paula Rosa Sara Sofia Vera".split(),
+    ("m", "latin"): "Adam Aron Ben Carlo Carlos Daniel David Emil Felix Frank George Gustav Henri Ivo James John Jonas Karl Leon Louis Luis Mark Martin Milan Niklas Oskar Pablo Paul Peter Robert Thomas Victor".split(),
+    ("f", "cyrillic"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга".split(),
+    ("m", "cyrillic"): "Антон Борис Виктор Глеб Иван Лев Олег Павел".split(),
 }
-SYLLABLES = {"latin": ["ba", "den", "fel", "gor", "han", "kel", "lin", "mar", "nor", "pel", "ros", "sten", "tor", "vil", "wen", "zan"], "cyrillic": ["ба", "ден", "вел", "гор", "кол", "лин", "мар", "нор", "пел", "рос", "тор", "вил"]}
-FEMALE, MALE = {"mrs", "ms", "miss", "frau", "mme", "sra", "señora"}, {"mr", "herr", "m", "sr", "señor"}
+GENDER = {name: gender for (gender, _), names in FIRST.items() for name in names}
+SYLLABLES = {"latin": "ba den fel gor han kel lin mar nor pel ros sten tor vil wen zan".split(), "cyrillic": "ба ден вел гор кол лин мар нор пел рос тор вил".split()}
+TITLES = {"mrs": "f", "ms": "f", "miss": "f", "frau": "f", "mme": "f", "sra": "f", "señora": "f", "mr": "m", "herr": "m", "sr": "m", "señor": "m", "dr": "", "prof": ""}
 
+_WORD = "[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+"
 PATTERNS = {
-    "email": r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?P<sep>[ -]?)[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "name": r"\b(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Sra?|Señora?)\.?\x20(?:[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)(?:\x20[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)?",
+    "name": rf"\b(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Sra?|Señora?)\.?\x20{_WORD}(?:\x20{_WORD})?",
 }
-_ANY = re.compile("|".join(f"(?P<{k}>{v})".replace(r"\1", "(?P=sep)").replace("([ -]?)", "(?P<sep>[ -]?)") for k, v in PATTERNS.items()))
+_ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 _MAY = re.compile(r"[0-9][0-9.)( -]{5}|@|\b(?:Mr|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Sr|Señor)")
-
-
-def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, type, text) of the entities in a text, leftmost first, without overlaps."""
-    if _MAY.search(text):
-        for m in _ANY.finditer(text):
-            yield m.start(), m.end(), m.lastgroup if m.lastgroup != "sep" else "card", m.group()
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+_LOCAL = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_%+.-")
+_NAMED = re.compile(rf"(?<!\w){_WORD}(?!\w)")
+
+#: An entity of a mention: where it stands, its kind, and its form, which all its mentions share.
+Entity = tuple[int, int, str, str]
+
+
+def _emails(text: str) -> Iterator[tuple[int, int, str]]:
+    """From each @ to both sides, so that a run of letters is passed once."""
+    free = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        start = max(start, text.rfind("..", start, at) + 2) if ".." in text[start:at] else start
+        start += text[start] == "." if start < at else 0
+        domain = _DOMAIN.match(text, at + 1)
+        free = at + 1
+        if start < at and text[at - 1] != "." and domain:
+            yield start, domain.end(), "email"
+            free = domain.end()
+        at = text.find("@", free)
+
+
+def _apart(found: list[tuple]) -> list[tuple]:
+    """Of spans that overlap the first, of those that begin together the longest."""
+    out: list[tuple] = []
+    for x in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
+    return out
+
+
+def mentions(text: str) -> list[tuple[int, int, str, list[Entity]]]:
+    """(start, end, type, entities) of what a text mentions, in its order, without overlaps; a full name has two entities."""
+    if not _MAY.search(text):
+        return []
+    found: list[tuple] = [*_emails(text)]
+    for m in _ANY.finditer(text):
+        kind = next(k for k in PATTERNS if m.group(k) is not None)
+        found.append((m.start(), m.end(), kind))
+    found = _apart(found)
+    given: dict[str, str] = {}
+    last: set[str] = set()
+    for start, end, kind in found:
+        if kind == "name":
+            title, *words = text[start:end].split()
+            if len(words) > 1:
+                given.setdefault(words[0], TITLES.get(title.rstrip(".").lower(), "") or _gender(words[0]))
+            last.add(words[-1])
+    last -= given.keys()
+    if last or given:  # the same people without a title
+        known = [m for m in _NAMED.finditer(text) if m.group() in last or m.group() in given]
+        i = 0
+        while i < len(known):
+            start, end = known[i].span()
+            if known[i].group() in given and i + 1 < len(known) and known[i + 1].group() in last and text[end : known[i + 1].start()] == " ":
+                i, end = i + 1, known[i + 1].end()
+            found.append((start, end, "name"))
+            i += 1
+        found = _apart(found)
+    return [(start, end, kind, _entities(text, start, end, kind, given)) for start, end, kind in found]
+
+
+def _entities(text: str, start: int, end: int, kind: str, given: dict[str, str]) -> list[Entity]:
+    value = text[start:end]
+    if kind != "name":
+        return [(start, end, kind, canonical(kind, value))]
+    words = [(m.start() + start, m.end() + start, m.group()) for m in re.finditer(r"\S+", value)]
+    gender = ""
+    if words[0][2].rstrip(".").lower() in TITLES and len(words) > 1:
+        gender = TITLES[words[0][2].rstrip(".").lower()]
+        words = words[1:]
+    out = []
+    for k, (a, b, w) in enumerate(words):
+        first = w in given and (k < len(words) - 1 or len(words) == 1) or len(words) > 1 and k == 0
+        out.append((a, b, "given", f"{gender or given.get(w) or _gender(w)}|{w}") if first else (a, b, "surname", w))
+    return out
+
+
+def _gender(first: str) -> str:
+    return GENDER.get(first) or ("f" if first[-1] in "aeаяь" else "m")
 
 
 def canonical(kind: str, value: str) -> str:
-    """The form that all mentions of one entity share."""
+    """The form that all mentions of an address or number share."""
     if kind == "email":
         return value.lower()
-    if kind == "name":
-        return " ".join(value.replace(".", "").split()[1:])
     return re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", value)
 
 
-def _stream(key: bytes, kind: str, form: str, attempt: int) -> int:
-    return int.from_bytes(hmac.new(key, f"{kind}|{attempt}|{form}".encode(), hashlib.sha256).digest(), "big")
+def _stream(key: bytes, *parts: object) -> int:
+    return int.from_bytes(hmac.new(key, "|".join(map(str, parts)).encode(), hashlib.sha256).digest(), "big")
 
 
 def _luhn_digit(digits: str) -> str:
@@ -86,79 +172,119 @@ def _luhn_ok(digits: str) -> bool:
     return _luhn_digit(digits[:-1]) == digits[-1]
 
 
-def surrogate_form(key: bytes, kind: str, form: str, attempt: int) -> str:
-    """The canonical form of an entity's surrogate; never its own."""
+def _round(key: bytes, i: int, half: int, bits: int) -> int:
+    digest = hashlib.blake2b(b"%d|%d" % (i, half), key=key[:64], digest_size=8).digest()
+    return int.from_bytes(digest, "big") & ((1 << bits) - 1)
+
+
+def _feistel(key: bytes, x: int, bits: int, back: bool = False) -> int:
+    left, right = x >> bits, x & ((1 << bits) - 1)
+    for i in reversed(range(6)) if back else range(6):
+        if back:
+            left, right = right ^ _round(key, i, left, bits), left
+        else:
+            left, right = right, left ^ _round(key, i, right, bits)
+    return left << bits | right
+
+
+def permuted(key: bytes, x: int, size: int, allowed: Callable[[int], bool] = lambda x: True) -> int:
+    """x's successor in a keyed cycle of all allowed numbers under ``size``: another number for each, and never itself if there are two."""
+    bits = max(1, ((size - 1).bit_length() + 1) // 2)
+    full = 1 << 2 * bits
     while True:
-        n = _stream(key, kind, form, attempt)
-        out = _draw(kind, form, n)
-        if out != form:
-            return out
-        attempt += 1_000_000  # a range of its own for the rare draw of the entity itself
+        x = _feistel(key, (_feistel(key, x, bits, back=True) + 1) % full, bits)
+        if x < size and allowed(x):
+            return x
 
 
-def _draw(kind: str, form: str, n: int) -> str:
-    if kind == "email":
-        local, _, domain = form.partition("@")
-        name = "".join(SYLLABLES["latin"][(n >> (4 * i)) % 16] for i in range(4))
-        return f"{name}{(n >> 16) % 10**6:06d}@mail{(n >> 40) % 1000:03d}.example.{domain.rpartition('.')[2] if domain.endswith(('.com', '.org', '.net')) else 'com'}"
-    if kind == "name":
-        return _draw_name(form, n)
+def _public(x: int) -> bool:
+    first = x >> 24
+    return 0 < first < 224 and first not in (10, 127, 169, 172, 192)
+
+
+def _number(key: bytes, kind: str, form: str) -> str:
+    """A number's or address's surrogate: a permutation of those that share what must stay."""
+
+    def digits(kept: str, free: str) -> str:
+        own = hmac.new(key, f"{kind}|{kept}|{len(free)}".encode(), hashlib.sha256).digest()
+        return kept + str(permuted(own, int(free), 10 ** len(free))).zfill(len(free)) if free else kept
+
     if kind == "ip":
-        parts = [int(p) for p in form.split(".")]
-        fixed = 1 if parts[0] in (10, 127) else 2 if parts[:2] in ([192, 168], [169, 254]) or parts[0] == 172 and 16 <= parts[1] < 32 else 0
-        drawn = [1 + (n >> (8 * i)) % 254 for i in range(4)]
-        if not fixed and drawn[0] in (10, 127, 169, 172, 192) or drawn[0] >= 224:
-            drawn[0] = 11 + drawn[0] % 100
-        return ".".join(map(str, parts[:fixed] + drawn[fixed:]))
-    digits = str(n % 10 ** len(form)).zfill(len(form))
+        x = sum(int(p) << 8 * (3 - i) for i, p in enumerate(form.split(".")))
+        free = 24 if x >> 24 in (10, 127) else 16 if x >> 16 in (0xC0A8, 0xA9FE) or 0xAC10 <= x >> 16 < 0xAC20 else 32
+        own = hmac.new(key, f"ip|{x >> free}|{free}".encode(), hashlib.sha256).digest()
+        public = free == 32 and _public(x)
+        y = (x >> free << free) | permuted(own, x & ((1 << free) - 1), 1 << free, (lambda v: _public(v) == public) if free == 32 else lambda v: True)
+        return ".".join(str(y >> 8 * (3 - i) & 255) for i in range(4))
     if kind == "card":
-        body = form[0] + digits[1:-1]
-        right = _luhn_digit(body)
-        return body + (right if _luhn_ok(form) else str((int(right) + 1 + n % 9) % 10))
-    if kind == "phone":  # country part and the usual first digits of a number stay in range
-        return (form[:-10] + "2" + digits[-9:]) if len(form) >= 10 else digits
-    return "9" + digits[1:]  # no social security number begins with 9
+        body = digits(form[0], form[1:-1])
+        off = (int(form[-1]) - int(_luhn_digit(form[:-1]))) % 10  # 0 where the check digit is right
+        return body + str((int(_luhn_digit(body)) + off) % 10)
+    if kind == "phone":
+        kept = len(form) - 9 if len(form) > 9 else 1
+        return digits(form[:kept], form[kept:])
+    return digits("", form)
 
 
-def _draw_name(form: str, n: int) -> str:
-    words = form.split()
+def surrogate_form(key: bytes, kind: str, form: str, attempt: int) -> str:
+    """The form of an entity's surrogate; never its own."""
+    if kind in PATTERNS and kind != "name":
+        return _number(key, kind, form)
+    again = 0
+    while True:
+        out = _draw(kind, form, _stream(key, kind, attempt, again, form), attempt)
+        if out.lower() != form.rpartition("|")[2].lower():
+            return out
+        again += 1
+
+
+def _draw(kind: str, form: str, n: int, attempt: int) -> str:
+    """A name or address; later attempts draw from longer ones."""
     script = "cyrillic" if re.search("[А-я]", form) else "latin"
-    gender = _gender(words[0]) or "fm"[n & 1]
-    given = FIRST[gender, script]
-    last = "".join(SYLLABLES[script][(n >> (5 * i + 8)) % len(SYLLABLES[script])] for i in range(5)).capitalize()
-    return f"{given[(n >> 1) % len(given)]} {last}" if len(words) > 1 else last
 
+    def take(some) -> str:
+        nonlocal n
+        n, k = divmod(n, len(some))
+        return some[k]
 
-def _gender(first: str) -> str | None:
-    return next((g for (g, _), names in FIRST.items() if first in names), None)
+    if kind == "email":
+        local, _, domain = form.partition("@")
+        turn, out = 0, []
+        for c in local:  # consonants and vowels in turn, digits for digits
+            out.append(take("0123456789") if c.isdigit() else take("bcdfghklmnprstvz" if turn % 2 == 0 else "aeiou") if c.isalpha() else c)
+            turn += c.isalpha()
+        end = domain.rpartition(".")[2]
+        return f"{''.join(out)}@mail{n % 10 ** (3 + attempt)}.example.{end if end in ('com', 'org', 'net') else 'com'}"
+    if kind == "given":
+        return "-".join(take(FIRST[form[0], script]) for _ in range(1 + (attempt + 1) // 2))
+    return "".join(take(SYLLABLES[script]) for _ in range(5 + attempt // 2)).capitalize()
 
 
 def in_format(kind: str, value: str, form: str) -> str:
     """A surrogate's form, written as the mention that it replaces."""
     if kind == "email":
-        return form.upper() if value.isupper() else form
-    if kind == "ip":
+        cased = "".join(f.upper() if v.isupper() else f for v, f in zip(value.partition("@")[0], form))
+        return form.upper() if value.isupper() else cased + form[len(cased) :]
+    if kind in ("ip", "given", "surname"):
         return form
-    if kind == "name":
-        title = value.split()[0]
-        gender = {t: g for g, titles in (("f", FEMALE), ("m", MALE)) for t in titles}.get(title.rstrip(".").lower())
-        words = form.split()
-        if gender and len(words) > 1:
-            script = "cyrillic" if re.search("[А-я]", form) else "latin"
-            pool = FIRST[gender, script]
-            if words[0] not in pool:  # the title says more than the name did
-                words[0] = pool[sum(map(ord, form)) % len(pool)]
-        return " ".join([title, *words])
     digits = iter(form)
     return re.sub("[0-9]", lambda _: next(digits), value)
 
 
+def drawn_entities(text: str) -> set[tuple[str, str]]:
+    """The entities of a text whose surrogates are drawn, and so may collide."""
+    return {(kind, form) for *_, own in mentions(text) for _, _, kind, form in own if kind in DRAWN}
+
+
+DRAWN = ("email", "given", "surname")
+
+
 def find_entities(docs: DataFrame) -> DataFrame:
-    """(kind, form): the entities of all texts, each as often as some Arrow batch holds it."""
+    """(kind, form): the entities of all texts whose surrogates are drawn, each as often as some Arrow batch holds it."""
 
     def run(batches):
         for batch in tk.steps(batches, "text"):
-            found = {(k, canonical(k, v)) for t in tk.column(batch, "text").to_pylist() if t for *_, k, v in entities(t)}
+            found = set().union(*(drawn_entities(t) for t in tk.column(batch, "text").to_pylist() if t))
             if found:
                 kinds, forms = zip(*sorted(found))
                 yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(forms)], names=["kind", "form"])
@@ -172,13 +298,11 @@ def assign_surrogates(found: DataFrame, key: bytes, most_rounds: int = 40) -> Da
     def draw(batches):
         for batch in batches:
             drawn = [surrogate_form(key, k, f, a) for k, f, a in zip(*(tk.column(batch, c).to_pylist() for c in ("kind", "form", "attempt")))]
-            # the last of a name's words must differ by itself: a title can still change the first
-            drawn = [d.split()[-1] if k == "name" else d for d, k in zip(drawn, tk.column(batch, "kind").to_pylist())]
             yield batch.append_column("drawn", pa.array(drawn, pa.string()))
 
     schema = "kind string, form string, attempt int, drawn string"
     known = checkpointed(found.distinct().withColumn("attempt", F.lit(0)).mapInArrow(draw, schema))
-    own = known.select("kind", F.col("form").alias("drawn")).withColumn("taken", F.lit(True))
+    own = known.select("kind", F.substring_index("form", "|", -1).alias("drawn")).distinct().withColumn("taken", F.lit(True))  # a given name without its gender
     by = Window.partitionBy("kind", "drawn").orderBy("attempt", F.xxhash64("form"), "form")
     for _ in range(most_rounds):
         # those drawn twice, or drawn as another entity's own form; an entity that changed comes after one that did not
@@ -194,12 +318,11 @@ def _rewritten(text: str | None, key: bytes, attempts: dict[tuple[str, str], int
     if not text:
         return text, 0, []
     out, at, spans = [], 0, []
-    for start, end, kind, value in entities(text):
-        form = canonical(kind, value)
-        new = in_format(kind, value, surrogate_form(key, kind, form, attempts.get((kind, form), 0)))
-        out += [text[at:start], new]
+    for start, end, kind, own in mentions(text):
         spans.append(f"{kind}:{start}:{end}")
-        at = end
+        for a, b, part, form in own:
+            out += [text[at:a], in_format(part, text[a:b], surrogate_form(key, part, form, attempts.get((part, form), 0)))]
+            at = b
     return "".join([*out, text[at:]]), len(spans), spans
 
 
@@ -243,12 +366,12 @@ def _with_attempts(docs: DataFrame, moved: DataFrame, name: str) -> DataFrame:
     def run(batches):
         for batch in tk.steps(batches, "text"):
             texts = tk.column(batch, "text").to_pylist()
-            found = [(h, k, f) for t, h in zip(texts, tk.column(batch, "hash").to_pylist()) if t for k, f in {(k, canonical(k, v)) for *_, k, v in entities(t)}]
+            found = [(h, k, f) for t, h in zip(texts, tk.column(batch, "hash").to_pylist()) if t for k, f in drawn_entities(t)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["hash", "kind", "form"])
 
-    mentions = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(run, "hash long, kind string, form string").distinct()
-    own = mentions.join(moved, ["kind", "form"]).groupBy("hash").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("found"))
+    held = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(run, "hash long, kind string, form string").distinct()
+    own = held.join(moved, ["kind", "form"]).groupBy("hash").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("found"))
     own = own.select(F.col("hash").alias(_free("hash", docs.columns)), F.col("found").alias(name))
     key = own.columns[0]
     return docs.withColumn(key, F.xxhash64("text")).join(own, key, "left").drop(key)

@@ -27,11 +27,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def _shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, in which drivers and executors see each other's files."""
+    """The session's checkpoint folder, in which drivers and executors see each other's files; one must be set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        # only a session without the cluster's spark.checkpoint.dir, such as a test, gets here
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
+        if configured is None and not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # a single machine's session shares its own folders
+        sc.setCheckpointDir(configured or tempfile.mkdtemp())
     return sc.getCheckpointDir()
 
 
@@ -42,7 +45,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written as Parquet beside the checkpoints and read again."""
-    path = f"{_shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    """The rows of ``df`` written as Parquet beside the checkpoints and read again.
+
+    The folder is deleted when the session's application ends.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.parquet(path)

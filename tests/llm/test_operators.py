@@ -1,7 +1,9 @@
 """Each operator against a plain version, on texts that have every awkward case."""
 
 import hashlib
+import itertools
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -445,6 +447,63 @@ def test_surrogates_are_distinct(spark, monkeypatch):
         assert len(set(drawn)) == len(drawn) and not set(drawn) & {f for _, f in all_forms}
 
 
+def test_people_keep_one_name(spark):
+    text = "Mr. John Smith came. Mr. Smith left with Frau Eva Müller. John slept, Johnson and Smithy too. Dr. John Smith spoke to Eva; г-н Mr. Иван Петров, Петров."
+    d = spark.createDataFrame([(1, text), (2, "Prof. Smith"), (3, "John Smith without a title")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.replace_entities(d.repartition(3), b"k").collect()}
+    given, last = out[1].split()[1:3]
+    last = last.rstrip(".")
+    eva = re.search(r"Frau (\S+) (\S+)\.", out[1])
+    assert given in pii.FIRST["m", "latin"] and eva[1] in pii.FIRST["f", "latin"]
+    ivan = re.search(r"г-н Mr\. (\S+) (\S+), (\S+)\.", out[1])
+    assert ivan[1] in pii.FIRST["m", "cyrillic"] and ivan[2] == ivan[3] != "Петров" and re.fullmatch("[А-Яа-я]+", ivan[2])
+    assert out[1] == f"Mr. {given} {last} came. Mr. {last} left with Frau {eva[1]} {eva[2]}. {given} slept, Johnson and Smithy too. Dr. {given} {last} spoke to {eva[1]}; г-н Mr. {ivan[1]} {ivan[2]}, {ivan[2]}."
+    assert out[2] == f"Prof. {last}" and out[3] == "John Smith without a title"
+
+
+def test_numbers_are_permuted():
+    for size in (1, 2, 10, 999, 4096):
+        image = [pii.permuted(b"key", x, size) for x in range(size)]
+        assert sorted(image) == list(range(size)) and (size == 1 or all(x != y for x, y in enumerate(image)))
+    blocks = [f"192.168.{i}.{j}" for i in range(256) for j in range(0, 256, 3)]
+    drawn = {pii.surrogate_form(b"k", "ip", f, 0) for f in blocks}
+    assert len(drawn) == len(blocks) and all(d.startswith("192.168.") for d in drawn)
+    for kind, form in (("ip", "8.8.8.8"), ("ip", "10.0.0.1"), ("ip", "0.0.0.0"), ("card", "4111111111111111"), ("card", "4111111111111112"), ("phone", "10175557713"), ("phone", "5557713"), ("ssn", "123456789")):
+        new = pii.surrogate_form(b"k", kind, form, 0)
+        assert new != form and (kind == "ip" or len(new) == len(form) and new[0] == form[0] or kind == "ssn")
+        assert kind != "card" or pii._luhn_ok(new) == pii._luhn_ok(form)
+    assert pii._public(sum(int(p) << 8 * (3 - i) for i, p in enumerate(pii.surrogate_form(b"k", "ip", "8.8.8.8", 0).split("."))))
+
+
+def test_surrogates_equal_a_plain_version(spark):
+    """All mentions by surrogates that one dictionary holds; as many given names as there are to draw from, so that some collide."""
+    names = ["Bob" + "".join(p) for p in itertools.product("aeiou", repeat=2)]
+    texts = [f"Mr. {a} {b} wrote {a.lower()}.{b}@x.org on 10.0.{i}.7, {a} said; ..x@y.net a@b" for i, (a, b) in enumerate(zip(names, reversed(names)))] + ["", "no one", "x@y.net X@Y.NET"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    attempts = {(r.kind, r.form): r.attempt for r in pii.assign_surrogates(pii.find_entities(d), b"k").collect()}
+    found = {e for t in texts for e in pii.drawn_entities(t)}
+    assert attempts.keys() <= found and any(attempts.values())
+    drawn = {e: pii.surrogate_form(b"k", *e, attempts.get(e, 0)) for e in found}
+    assert all(len({s for (k, _), s in drawn.items() if k == kind}) == sum(k == kind for k, _ in drawn) for kind in pii.DRAWN)
+    out = [r.text for r in pii.replace_entities(d.coalesce(1), b"k").orderBy("doc_id").collect()]
+    for i, (a, b) in enumerate(zip(names, reversed(names))):
+        g = f"m|{a}"
+        mail = pii.in_format("email", f"{a.lower()}.{b}@x.org", drawn["email", f"{a.lower()}.{b.lower()}@x.org"])
+        ip = pii.surrogate_form(b"k", "ip", f"10.0.{i}.7", 0)
+        assert out[i] == f"Mr. {drawn['given', g]} {drawn['surname', b]} wrote {mail} on {ip}, {drawn['given', g]} said; ..{drawn['email', 'x@y.net']} a@b"
+    surnames = [t.split()[2] for t in out if t.startswith("Mr.")]
+    assert len(set(surnames)) == len(names) and not set(surnames) & set(names)
+    given = [t.split()[1] for t in out if t.startswith("Mr.")]
+    assert len(set(given)) == len(names)
+
+
+def test_long_runs_take_linear_time():
+    for make in (lambda n: "a" * n + "@b.com", lambda n: "a." * n, lambda n: "a@" * n, lambda n: "1.2." * n, lambda n: "1234-" * n, lambda n: "Mr " * n, lambda n: "+1 " * n, lambda n: "a.b@c." * n):
+        began = time.time()
+        pii.mentions(make(300_000) + " Mr. John Smith")
+        assert time.time() - began < 10
+
+
 def labelled(spark, n=400):
     out = []
     for i in range(n):
