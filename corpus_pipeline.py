@@ -1,12 +1,20 @@
 """From raw documents to a training mixture, stage by stage.
 
 Each stage takes the rows that its predecessor kept, with the columns of
-``documents``, and all but the last return those columns.
+``documents``, and all but the last return those columns as they are, whatever
+they are named; the last replaces columns named epoch, tokens_before and mix_order.
+
+Nulls: a null or empty text has the score of a text without words and is judged by
+it; it has no near copies, benchmark items or secrets. A null doc_id has no near
+copies. A null source is a source of its own. Repeated rows are one document to
+the join, which keeps the least, and ties elsewhere go row by row. Texts of any
+length are read whole. An empty table gives an empty mixture.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablefold.llm import decontamination, ngram_join, quality_classifier, secret_scan, source_mixing
 from tablefold.llm.shipping import ship, stored
@@ -16,8 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it is fitted on a sample of the labelled ones."""
     ship(spark)
     labels = quality_classifier.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality_classifier.score_quality(docs, quality_classifier.fit_quality(docs, labels))
-    return scored.where("score >= 0.7").select(*docs.columns)
+    weights = quality_classifier.fit_quality(docs, labels)
+    # the row goes in a struct, so that a column of docs named score stays what it is
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    return quality_classifier.score_quality(rows, weights).where("score >= 0.7").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
