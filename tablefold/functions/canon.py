@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Plain decimal numbers with an optional exponent; no blanks, type suffixes or hexadecimal forms.
+#: Plain decimal numbers with an optional exponent; no blanks or type suffixes.
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-SPECIAL = r"(?i)^([+-]?(inf|infinity)|nan)$"
+#: Infinities and what is no number, by name, which count as numbers of a column.
+SPECIAL = r"(?i)^[+-]?(inf|infinity|nan)$"
+#: Hexadecimal numbers with a binary exponent, of up to 15 digits.
+HEXADECIMAL = r"^([+-]?)0[xX](?=[0-9a-fA-F.]{1,16}[pP])([0-9a-fA-F]*)[.]?([0-9a-fA-F]*)[pP]([+-]?[0-9]{1,4})$"
 
 
 def text_of(column: Column, kind: T.DataType) -> Column:
@@ -47,9 +50,24 @@ def round2(x: Column) -> Column:
 
 
 def parsed(cell: Column) -> Column:
-    """A text cell as a double, or null if it is no finite number."""
-    number = F.when(cell.rlike(NUMBER), F.try_cast(cell, "double") if hasattr(F, "try_cast") else cell.try_cast("double"))
-    return F.when(F.abs(number) < float("inf"), number)
+    """A text cell as a double, or null if it is none; a decimal or hexadecimal number that is out of range is none.
+
+    inf, infinity and nan are read in any case.
+    """
+    plain = F.when(cell.rlike(NUMBER), cell.try_cast("double"))
+    part = lambda i: F.regexp_extract(cell, HEXADECIMAL, i)
+    digits = F.conv(F.concat(part(2), part(3)), 16, 10).try_cast("double")
+    scale = F.pow(F.lit(2.0), part(4).try_cast("int") - 4 * F.length(part(3)))
+    hexadecimal = F.when(cell.rlike(HEXADECIMAL) & (F.length(F.concat(part(2), part(3))) > 0), digits * scale * F.when(part(1) == "-", -1.0).otherwise(1.0))
+    number = F.coalesce(plain, hexadecimal)
+    special = F.when(cell.rlike("(?i)nan$"), F.lit(float("nan"))).when(cell.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(cell.rlike(SPECIAL), special).otherwise(F.when(F.abs(number) < float("inf"), number))
+
+
+def displayed(x: Column, digits: int = 6) -> Column:
+    """A double as text with at most so many decimals: no trailing zeros, and no point for whole numbers."""
+    text = F.format_string(f"%.{digits}f", x)
+    return F.when(text.contains("."), F.regexp_replace(text, "[.]?0+$", "")).otherwise(text)
 
 
 def short_id(digest: Column) -> Column:

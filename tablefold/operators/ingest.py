@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import row_sum, text_of
+from ..functions.lineage import checkpointed
 from .rowdiff import checked_key
 
 #: Rows of a block (fixed value).
@@ -37,27 +38,18 @@ def one_per_key(df: DataFrame, pk: Sequence[str], drop_empty_keys: bool = False)
 def numbered(df: DataFrame, order: Sequence[str], name: str = "row") -> DataFrame:
     """df with the 0-based position of each row in the order of ``order``, which should be a key.
 
-    Rows are dealt by range and counted in each range; only these counts are
-    summed up in one place. (A window over all rows would be one task.) Bounds
-    of ranges are drawn once, on the driver, so that a repeated task agrees.
+    Rows are dealt by range, sorted in each range and kept with their place in
+    it; only the ranges' counts are added up in one place. (A window over all
+    rows would be one task.)
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*(F.col(f"`{c}`") for c in order))
-    keyed = df.withColumn("_key", key)
-    share = min(1.0, 100.0 * parts / max(1, df.count()))
-    drawn = sorted((r[0] for r in keyed.sample(share, seed=7).select("_key").collect()), key=_in_order)  # some 100 keys a part
-    bounds = [drawn[len(drawn) * i // parts] for i in range(1, parts)] if len(drawn) >= parts else []
-    kinds = [df.schema[c].dataType for c in order]
-    literal = [F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(b, kinds, order))) for b in bounds]
-    keyed = keyed.withColumn("_part", F.size(F.filter(F.array(*literal), lambda b: b <= F.col("_key"))) if literal else F.lit(0))
-    counts = keyed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
-    return keyed.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + within - 1).cast("long")).drop("_part", "_key", "_before")
-
-
-def _in_order(key) -> tuple:
-    return tuple((x is not None, x) for x in key)
+    dealt = df.repartitionByRange(*(F.col(f"`{c}`") for c in order)).sortWithinPartitions(*(F.col(f"`{c}`") for c in order))
+    kept = checkpointed(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row a range
+    placed = kept.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_before") + within).cast("long").alias(name))
 
 
 def blocks(df: DataFrame, pk: Sequence[str]) -> DataFrame:

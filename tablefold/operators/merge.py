@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.canon import text_of
 from .coldiff import ColumnDiff, compare_columns
@@ -15,8 +17,11 @@ from .rowdiff import checked_key
 
 @dataclass
 class Merge:
-    """rows: every key that some version has, with the key and union columns as text, ``dropped`` (the row goes
-    without a question), ``resolved``, ``unresolved`` (columns in conflict) and, for conflicts, ``versions``."""
+    """rows: every key that some version has, with the union columns, ``dropped`` (the row goes without a question),
+    ``resolved``, ``unresolved`` (columns in conflict) and ``versions`` (each one's cells as text, base first).
+
+    A column has the type that the versions give it, and is text if they differ in it.
+    """
 
     columns: ColumnDiff
     pk: list[str]
@@ -32,28 +37,38 @@ class Merge:
     def result(self, resolutions: DataFrame | None = None, without: Sequence[str] | None = None) -> DataFrame:
         """The merged version: resolved rows, and conflicting ones as ``resolutions`` says.
 
-        resolutions has the key, the union columns and a boolean ``drop``;
-        conflicts that it doesn't name are left out. ``without`` are columns to
-        leave out; by default those that some layer removed, if nothing conflicts
-        by construction (no resolutions given), else none.
+        resolutions has the key, the union columns and a boolean ``drop``. A
+        conflict that it doesn't name fails the job: rows are never left out in
+        silence. ``without`` are columns to leave out; by default those that
+        some layer removed, if no resolutions are given, else none.
         """
         removed = [c for c in self.columns.names if any(c in r for r in self.columns.removed)]
         gone = set(without) if without is not None else set(removed if resolutions is None else [])
-        out = self.resolved()
-        if resolutions is not None:
-            chosen = resolutions.where(~F.coalesce(F.col("drop"), F.lit(False))).select(*self.columns.names)
-            conflicts = self.conflicts().select(*self.pk)
-            out = out.unionByName(chosen.join(conflicts, self.pk, "left_semi").select(*self.columns.names))
-        return out.select(*(c for c in self.columns.names if c not in gone))
+        open_ = self.conflicts().select(*(F.col(f"`{c}`") for c in self.columns.names))
+        named = open_.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(self.pk)))
+        if resolutions is None:
+            decided = open_.withColumns({"_named": F.lit(False), "_drop": F.lit(False)})
+        else:
+            cells = [F.col(f"`{c}`").cast(open_.schema[c].dataType).alias(c) for c in self.columns.names]
+            chosen = resolutions.select(*cells, F.coalesce("drop", F.lit(False)).alias("_drop"), F.lit(True).alias("_named"))
+            same = [named[f"_k{i}"].eqNullSafe(chosen[f"`{c}`"]) for i, c in enumerate(self.pk)]
+            decided = named.join(chosen, reduce(lambda a, b: a & b, same), "left").withColumn("_named", F.coalesce("_named", F.lit(False)))
+        unnamed = F.raise_error("a conflict has no resolution: see conflicts()").cast("boolean")
+        decided = decided.where(F.when(F.col("_named"), ~F.col("_drop")).otherwise(unnamed)).select(*(F.col(f"`{c}`") for c in self.columns.names))
+        return self.resolved().unionByName(decided).select(*(c for c in self.columns.names if c not in gone))
 
     def lines(self, names: Sequence[str]) -> DataFrame:
-        """Conflicts as labelled lines: line, label and cells; the resolution proposed comes last."""
-        cells = F.array(*(F.col(f"`{c}`") for c in self.columns.names))
+        """Conflicts as labelled lines: has_base, line, label and cells as text; the resolution proposed comes last.
+
+        In order of (has_base, key, line), rows that base lacks come first.
+        """
+        cells = F.array(*(text_of(F.col(f"`{c}`"), self.rows.schema[c].dataType) for c in self.columns.names))
         labels = [f"CONFLICT {'BASE' if i == 0 else 'IN'} {n}" for i, n in enumerate(names)]
         each = [F.struct(F.lit(i).alias("line"), F.lit(label).alias("label"), F.get(F.col("versions"), F.lit(i)).alias("cells")) for i, label in enumerate(labels)]
         last = F.struct(F.lit(len(names)).alias("line"), F.lit("RESOLUTION").alias("label"), cells.alias("cells"))
-        rows = self.conflicts().select(*self.pk, F.explode(F.filter(F.array(*each, last), lambda x: x["cells"].isNotNull())).alias("_x"))
-        return rows.select(*self.pk, "_x.*")
+        has_base = F.get(F.col("versions"), F.lit(0)).isNotNull().alias("has_base")
+        rows = self.conflicts().select(*self.pk, has_base, F.explode(F.filter(F.array(*each, last), lambda x: x["cells"].isNotNull())).alias("_x"))
+        return rows.select(*self.pk, "has_base", "_x.*")
 
 
 def merge(base: DataFrame, layers: Sequence[DataFrame], pk: Sequence[str]) -> Merge:
@@ -73,49 +88,69 @@ def merge(base: DataFrame, layers: Sequence[DataFrame], pk: Sequence[str]) -> Me
     versions = [base, *layers]
 
     def cell(df: DataFrame, c: str) -> Column:
-        return text_of(F.col(f"`{c}`"), df.schema[c].dataType) if c in df.columns else F.lit("")
+        own = F.col(f"`{c}`")
+        if c not in df.columns:
+            return blank(c)
+        return own if kinds[c] == df.schema[c].dataType else text_of(own, df.schema[c].dataType)
+
+    def blank(c: str) -> Column:
+        return F.lit("") if kinds[c] == T.StringType() else F.lit(None).cast(kinds[c])
+
+    kinds = {}
+    for c in diff.names:
+        found = {df.schema[c].dataType for df in versions if c in df.columns}
+        kinds[c] = found.pop() if len(found) == 1 else T.StringType()
 
     every = None
     for i, df in enumerate(versions):
-        side = df.select(F.lit(i).alias("_v"), *(cell(df, c).alias(f"_k{n}") for n, c in enumerate(key)), F.array(*(cell(df, c) for c in diff.names)).alias("_cells"))
+        keys = [text_of(cell(df, c), kinds[c]).alias(f"_k{n}") for n, c in enumerate(key)]
+        side = df.select(F.lit(i).alias("_v"), *keys, F.struct(*(cell(df, c).alias(f"c{j}") for j, c in enumerate(diff.names))).alias("_cells"))
         every = side if every is None else every.unionAll(side)
     keys = [f"_k{n}" for n in range(len(key))]
     grouped = every.groupBy(*keys).agg(*(F.max(F.when(F.col("_v") == i, F.col("_cells"))).alias(f"_{i}") for i in range(len(versions))))
-    return Merge(diff, list(key), grouped.select(*_resolve(diff, len(layers))))
+    return Merge(diff, list(key), grouped.select(*_resolve(diff, len(layers), key, kinds, blank)))
 
 
-def _resolve(diff: ColumnDiff, n: int) -> list[Column]:
+def _resolve(diff: ColumnDiff, n: int, key: Sequence[str], kinds: dict[str, T.DataType], blank: Callable[[str], Column]) -> list[Column]:
     has = lambda i: F.col(f"_{i}").isNotNull()
-    at = lambda i, j: F.get(F.col(f"_{i}"), F.lit(j))
-    none = F.lit(None).cast("string")
+    at = lambda i, j: F.col(f"_{i}.c{j}")
+    text = lambda i, j: text_of(at(i, j), kinds[diff.names[j]])
     any_removed = has(0) & _any(~has(i) for i in range(1, n + 1))
-    changed_row = _any(
-        has(i) & (F.lit(True) if diff.layers[i - 1] != diff.base else ~F.col(f"_{i}").eqNullSafe(F.col("_0"))) for i in range(1, n + 1)
-    )
+    same_cells = lambda i: reduce(lambda a, b: a & b, (text(i, j) == text(0, j) for j in range(len(diff.names))), F.lit(True))
+    changed_row = _any(has(i) & (F.lit(True) if diff.layers[i - 1] != diff.base else ~has(0) | ~same_cells(i)) for i in range(1, n + 1))
     dropped = has(0) & any_removed & ~changed_row
     cells, conflicts = [], []
     for j, c in enumerate(diff.names):
         holders = [i for i in range(1, n + 1) if c in diff.layers[i - 1]]
         lacking = [i for i in range(1, n + 1) if c in diff.base and i not in holders]
+        cell = lambda i, j=j: F.struct(text(i, j).alias("text"), at(i, j).alias("value"))
         if c in diff.base:
-            changes = [F.when(has(i) & ~at(i, j).eqNullSafe(at(0, j)), at(i, j)) for i in holders]
+            changes = [F.when(has(i) & (~has(0) | (text(i, j) != text(0, j))), cell(i)) for i in holders]
             gone = _any([any_removed, *(has(i) for i in lacking)])
         else:
-            changes = [F.when(has(i), at(i, j)) for i in holders]
+            changes = [F.when(has(i), cell(i)) for i in holders]
             gone = F.lit(False)
-        values = F.array_compact(F.array_distinct(F.array(*changes, none)))
-        conflict = (F.size(values) > 1) | ((F.size(values) > 0) & gone)
-        column_gone = _any(has(i) for i in lacking)
-        kept = F.when(column_gone, F.lit("")).otherwise(F.coalesce(at(0, j), F.lit("")))
-        cells.append(F.when(conflict, F.coalesce(at(0, j), F.lit(""))).when(F.size(values) == 1, values[0]).otherwise(kept).alias(c))
+        values = F.array_compact(F.array_distinct(F.array(*changes))) if changes else F.array()
+        many = F.size(values)
+        conflict = (many > 1) | ((many > 0) & gone)
+        before = F.when(has(0), at(0, j)).otherwise(blank(c))
+        kept = F.when(_any(has(i) for i in lacking), blank(c)).otherwise(before)
+        if c in key:  # which all versions share
+            value = F.coalesce(*(at(i, j) for i in range(n + 1)))
+        elif changes:
+            value = F.when(conflict, before).when(many == 1, values[0]["value"]).otherwise(kept)
+        else:
+            value = kept
+        cells.append(value.alias(c))
         conflicts.append(F.when(conflict, F.lit(c)))
     unresolved = F.array_compact(F.array(*conflicts))
+    as_text = lambda i: F.when(has(i), F.array(*(text(i, j) for j in range(len(diff.names)))))
     return [
         *cells,
         dropped.alias("dropped"),
         (~any_removed & (F.size(unresolved) == 0)).alias("resolved"),
         unresolved.alias("unresolved"),
-        F.array(*(F.col(f"_{i}") for i in range(n + 1))).alias("versions"),
+        F.array(*(as_text(i) for i in range(n + 1))).alias("versions"),
     ]
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import parsed, round2, text_of
+from ..functions.lineage import checkpointed
 
 #: Most frequent values that a profile holds, step of its percentiles, and numbers that these need (fixed values).
 TOP, STEP, LEAST = 20, 5, 20
@@ -29,15 +30,16 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def basic_stats(counts: DataFrame) -> DataFrame:
     """Counts, lengths in bytes, and numeric figures of each column; these are null unless every value is a number."""
     number, size, n = parsed(F.col("value")), F.octet_length("value"), F.col("count")
+    figure = F.when(~F.isnan(number), number)  # nan is a number, of which nothing is reckoned
     filled = F.col("value") != ""
     some = counts.groupBy("column").agg(
         F.sum("count").alias("rows"),
         F.sum(F.when(filled, 0).otherwise(n)).alias("na_count"),
         F.sum(F.when(filled, n).otherwise(0)).alias("filled"),
         F.bool_and(F.when(filled, number.isNotNull())).alias("numeric"),
-        F.min(number).alias("min"),
-        F.max(number).alias("max"),
-        F.sum(F.when(filled, number * n)).alias("total"),
+        F.min(figure).alias("min"),
+        F.max(figure).alias("max"),
+        F.sum(F.when(filled, figure * n)).alias("total"),
         F.coalesce(F.min(F.when(filled, size)), F.lit(0)).alias("min_str_len"),
         F.coalesce(F.max(size), F.lit(0)).alias("max_str_len"),
         F.sum(size * n).alias("bytes"),
@@ -61,7 +63,8 @@ def deviations(counts: DataFrame, stats: DataFrame) -> DataFrame:
     """(column, std_deviation): from the rounded mean, over all rows, missing ones among them."""
     some = stats.where("numeric").select("column", "mean", "rows")
     squares = counts.where("value <> ''").join(F.broadcast(some), "column")  # a row a column
-    part = F.col("count") * F.pow(parsed(F.col("value")) - F.col("mean"), 2)
+    number = parsed(F.col("value"))
+    part = F.when(~F.isnan(number), F.col("count") * F.pow(number - F.col("mean"), 2))
     return squares.groupBy("column").agg(round2(F.sqrt(F.sum(part) / F.max("rows"))).alias("std_deviation"))
 
 
@@ -107,7 +110,7 @@ def percentiles(counts: DataFrame, stats: DataFrame) -> DataFrame:
     """
     numeric = stats.where("numeric AND filled > 0").select("column", F.col("filled").alias("total"))
     numbers = counts.where("value <> ''").join(F.broadcast(numeric), "column")
-    numbers = numbers.groupBy("column", parsed(F.col("value")).alias("n")).agg(F.sum("count").alias("count"))
+    numbers = numbers.groupBy("column", parsed(F.col("value")).alias("n")).agg(F.sum("count").alias("count")).where(~F.isnan("n"))
     run = _running(numbers).join(F.broadcast(numeric), "column")
     own, last = _rank(F.col("total"), F.col("cum") - 1), _rank(F.col("total"), F.col("before") - 1)
     first = F.col("before") == 0
@@ -135,8 +138,8 @@ def top_values(counts: DataFrame, stats: DataFrame, top: int = TOP) -> DataFrame
 
 
 def counted(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Value counts, kept for the several figures that are made of them, and their basic figures."""
-    counts = value_counts(df, columns).persist()
+    """Value counts, written once for the several figures that are made of them, and their basic figures."""
+    counts = checkpointed(value_counts(df, columns))
     return counts, basic_stats(counts)
 
 
@@ -185,3 +188,27 @@ def percentiles_diff(new: DataFrame, old: DataFrame) -> DataFrame:
     same = F.size("n") == F.coalesce(F.size("o"), F.lit(-1))
     pairs = F.transform("n", lambda v, i: F.struct(((i + 1) * STEP).alias("percent"), F.when(same, F.get("o", i)).otherwise(0.0).alias("old"), v.alias("new")))
     return both.select("column", F.explode(pairs).alias("x")).select("column", "x.*")
+
+
+def table_diff(new: DataFrame | None, old: DataFrame | None) -> DataFrame:
+    """One row for each column of two profiles: status (added, removed, changed, unchanged), the rows of both versions
+    and its differences in figures, percentiles and top values; new columns in front, no row at all if nothing changed.
+
+    A version without a profile has no columns.
+    """
+    one = new if new is not None else old.limit(0)
+    other = old if old is not None else new.limit(0)
+    scalars = scalar_diff(one, other).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("stat", "old", "new", "unchanged"))).alias("figures"))
+    top = top_values_diff(one, other).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("position", "value", "old_count", "new_count", "old_pct", "new_pct"))).alias("top_values"))
+    percent = percentiles_diff(one, other).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("percent", "old", "new"))).alias("percentiles"))
+    sides = one.select("column", F.col("rows").alias("new_rows")).join(other.select("column", F.col("rows").alias("old_rows")), "column", "full_outer")
+    both = sides.join(scalars, "column", "left").join(top, "column", "left").join(percent, "column", "left")
+    moved = (
+        F.exists(F.coalesce("figures", F.array().cast("array<struct<stat:string,old:double,new:double,unchanged:boolean>>")), lambda x: ~x["unchanged"])
+        | F.coalesce(F.exists("top_values", lambda x: (x["old_count"] != x["new_count"]) | (x["old_pct"] != x["new_pct"])), F.lit(False))
+        | F.coalesce(F.exists("percentiles", lambda x: ~x["old"].eqNullSafe(x["new"])), F.lit(False))
+    )
+    status = F.when(F.col("old_rows").isNull(), "added").when(F.col("new_rows").isNull(), "removed").when(moved, "changed").otherwise("unchanged")
+    judged = both.select("column", status.alias("status"), "new_rows", "old_rows", "figures", "top_values", "percentiles")
+    any_change = judged.where((F.col("status") != "unchanged") | ~F.col("new_rows").eqNullSafe(F.col("old_rows"))).limit(1).select(F.lit(1).alias("_any"))
+    return judged.join(F.broadcast(any_change), F.lit(True), "left_semi")

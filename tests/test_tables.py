@@ -218,7 +218,7 @@ def test_small_changes_of_floats_count(spark):
     assert {(r.id, r.column) for r in rowdiff.cell_diff(new, old, ["id"]).collect()} == {(1, "d"), (3, "d"), (4, "d"), (4, "f"), (5, "d")}
     assert ingest.table_sum(new, ["id"]) != ingest.table_sum(old, ["id"])
     assert {r["column"]: len(r.values) for r in profile.value_counts(old).groupBy("column").agg(F.collect_set("value").alias("values")).collect()}["d"] == 5
-    assert {r.id: float(r.d or "inf") for r in merge(old, [new.where("id < 4"), old.where("id < 4")], ["id"]).resolved().collect()} == {"1": 3e-6, "2": 2e-6, "3": 2e40}
+    assert {r.id: float(r.d or "inf") for r in merge(old, [new.where("id < 4"), old.where("id < 4")], ["id"]).resolved().collect()} == {1: 3e-6, 2: 2e-6, 3: 2e40}
 
 
 def test_csv(spark, tmp_path):
