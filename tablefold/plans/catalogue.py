@@ -6,16 +6,19 @@ SQL engine can derive the same.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.canon import four_digits, parsed, readable_size, row_sum, text_of
-from ..operators import ingest, profile, rowdiff
+from ..functions.canon import canonical, four_digits, parsed, readable_size, row_sum
+from ..functions.lineage import shared_folder
+from ..operators import history, ingest, profile, rowdiff
 from ..operators.merge import Merge, merge
-from . import graph, sqltext
-from .graph import Commit
+from . import sqltext
+from .versions import VersionStore, object_sizes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -146,9 +149,8 @@ def diff_cells(spark, sf_dir):
 
 
 @query(
-    """SELECT n_nationkey::VARCHAR AS n_nationkey, n_name || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE '|' || 'x' || n_name END AS n_name, n_regionkey::VARCHAR AS n_regionkey, 'new'::VARCHAR AS extra
-    FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'y' || n_name END AS n_name, n_regionkey FROM nation) WHERE false
-    UNION ALL SELECT n_nationkey::VARCHAR, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'x' || n_name || '|' || n_name END, n_regionkey::VARCHAR, 'new' FROM nation"""
+    """SELECT n_nationkey::VARCHAR AS n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'x' || n_name || '|' || n_name END AS n_name,
+    n_regionkey::VARCHAR AS n_regionkey, 'new' AS extra FROM nation"""
 )
 def diff_combined_rows(spark, sf_dir):
     old = table(spark, sf_dir, "nation")
@@ -245,9 +247,10 @@ def duplicate_detection(spark, sf_dir):
 # Profiles
 
 _PROFILED = {
-    "customer": {"c_name": "s", "c_nationkey": "i", "c_acctbal": "d", "c_mktsegment": "s"},
-    "part": {"p_brand": "s", "p_size": "i", "p_type": "s", "p_retailprice": "d"},
-    "events": {"user_id": "i", "event_type": "s", "value": "d"},
+    "customer": sqltext.CUSTOMER,
+    "part": sqltext.PART,
+    "events": sqltext.EVENTS,
+    "lineitem": sqltext.LINEITEM,
 }
 _COUNTS = {t: sqltext.counts(t, c) for t, c in _PROFILED.items()}
 
@@ -266,6 +269,11 @@ def profile_basic(spark, sf_dir):
     return _profiled(spark, sf_dir, "customer")[1]
 
 
+@query(f"""SELECT "column", rows, na_count, filled, "numeric", {_MIN_MAX}, {_MEAN}, min_str_len, max_str_len, {_AVG_LEN} FROM ({sqltext.stats(_COUNTS["lineitem"])})""")
+def profile_lineitem(spark, sf_dir):
+    return _profiled(spark, sf_dir, "lineitem")[1]
+
+
 @query(
     f"""WITH v AS ({_COUNTS["part"]}), s AS (SELECT *, {_MEAN} FROM ({sqltext.stats(_COUNTS["part"])}))
     SELECT "column", {sqltext.ROUND2.format('sqrt(sum("count" * pow(value::DOUBLE - mean, 2)) / max(rows))')} AS std_deviation
@@ -294,12 +302,18 @@ def profile_top_values(spark, sf_dir):
     return profile.top_values(*_profiled(spark, sf_dir, "part"))
 
 
-_CELLS = ["1", "-2.5", "+3e2", ".5", "5.", "1e400", " 1", "1 ", "1.0d", "1f", "", "abc", "--1", "1e", "0x1p3", "007"]
+_CELLS = ["1", "-2.5", "+3e2", ".5", "5.", "1e400", " 1", "1 ", "1.0d", "1f", "", "abc", "--1", "1e", "007"]
+_NAMED = {"inf": "'inf'", "-Infinity": "'-inf'", "NaN": "'nan'", "infinite": "NULL", "0x1p3": "8", "-0X1.8p-1": "-0.75", "0x.8p0": "0.5", "0x1": "NULL", "0xp1": "NULL"}
 
 
-@query(f"SELECT value, CASE WHEN {sqltext.NUMBER} AND isfinite(TRY_CAST(value AS DOUBLE)) THEN TRY_CAST(value AS DOUBLE) END AS number FROM (SELECT unnest({_CELLS!r}) AS value)")
+@query(
+    f"""SELECT value, CASE WHEN {sqltext.NUMBER} AND isfinite(TRY_CAST(value AS DOUBLE)) THEN TRY_CAST(value AS DOUBLE)::VARCHAR END AS number FROM (SELECT unnest({_CELLS!r}) AS value)
+    UNION ALL SELECT value, number::DOUBLE::VARCHAR FROM (VALUES {", ".join(f"('{v}', {n}::DOUBLE)" for v, n in _NAMED.items())}) AS t(value, number)"""
+)
 def profile_numeric_detection(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in _CELLS], "value string").withColumn("number", parsed(F.col("value")))
+    number = parsed(F.col("value"))
+    text = F.when(F.isnan(number), "nan").when(F.abs(number) == float("inf"), F.when(number > 0, "inf").otherwise("-inf")).otherwise(number.cast("string"))
+    return spark.createDataFrame([(c,) for c in [*_CELLS, *_NAMED]], "value string").withColumn("number", text)
 
 
 def _orders_profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -330,9 +344,14 @@ def profile_diff_percentiles(spark, sf_dir):
 
 
 def _scalar_sql(counts: str) -> str:
-    return f"""SELECT "column", unnest(['na_count', 'min', 'max', 'mean', 'min_str_len', 'max_str_len', 'avg_str_len']) AS stat,
-      unnest([na_count::DOUBLE, "min", "max", mean, min_str_len::DOUBLE, max_str_len::DOUBLE, avg_str_len::DOUBLE]) AS v
-      FROM (SELECT "column", na_count, {_MIN_MAX}, {_MEAN}, min_str_len, max_str_len, {_AVG_LEN} FROM ({sqltext.stats(counts)}))"""
+    deviation = sqltext.ROUND2.format("""sqrt(sum("count" * pow(value::DOUBLE - mean, 2)) / max(rows))""")
+    return f"""SELECT f."column", unnest(['na_count', 'min', 'max', 'mean', 'median', 'std_deviation', 'min_str_len', 'max_str_len', 'avg_str_len']) AS stat,
+      unnest([na_count::DOUBLE, "min", "max", f.mean, median, std_deviation, min_str_len::DOUBLE, max_str_len::DOUBLE, avg_str_len::DOUBLE]) AS v
+      FROM (SELECT "column", na_count, {_MIN_MAX}, {_MEAN}, min_str_len, max_str_len, {_AVG_LEN} FROM ({sqltext.stats(counts)})) f
+      LEFT JOIN (SELECT "column", max(CASE WHEN p = 50 THEN v END) AS median FROM ({sqltext.percentile_rows(counts)}) GROUP BY "column") m ON m."column" = f."column"
+      LEFT JOIN (SELECT v."column", {deviation} AS std_deviation
+                 FROM ({counts}) v JOIN (SELECT "column", rows, "numeric", {_MEAN} FROM ({sqltext.stats(counts)})) s ON v."column" = s."column" WHERE s."numeric" AND value <> '' GROUP BY v."column") d
+      ON d."column" = f."column" """
 
 
 @query(
@@ -340,7 +359,18 @@ def _scalar_sql(counts: str) -> str:
     WHERE n.stat = 'na_count' OR coalesce(o.v, 0) <> 0 OR coalesce(n.v, 0) <> 0"""
 )
 def profile_diff_scalar(spark, sf_dir):
-    return profile.scalar_diff(*_orders_profiles(spark, sf_dir)).where("stat NOT IN ('median', 'std_deviation')")
+    return profile.scalar_diff(*_orders_profiles(spark, sf_dir))
+
+
+@query(
+    f"""WITH n AS ({_scalar_sql(_ONEW)}), o AS ({_scalar_sql(_OOLD)}), rows AS (SELECT (SELECT count(*) FROM {ORDERS_NEW}) AS new_rows, (SELECT count(*) FROM {ORDERS_OLD}) AS old_rows)
+    SELECT n."column", CASE WHEN n."column" = 'o_orderpriority' THEN 'added' ELSE 'changed' END AS status, new_rows, CASE WHEN n."column" <> 'o_orderpriority' THEN old_rows END AS old_rows FROM (SELECT DISTINCT "column" FROM n) n, rows
+    UNION ALL SELECT 'o_comment', 'removed', NULL, old_rows FROM rows"""
+)
+def profile_diff_table(spark, sf_dir):
+    new, old = orders_pair(spark, sf_dir)
+    profiles = profile.profile(new, ["o_custkey", "o_orderstatus", "o_orderpriority"]), profile.profile(old.withColumn("o_comment", F.lit("x")), ["o_custkey", "o_orderstatus", "o_comment"])
+    return profile.table_diff(*profiles).select("column", "status", "new_rows", "old_rows")
 
 
 # Merges: layers of customer that change, remove and add rows by rules on the key
@@ -354,13 +384,13 @@ def _layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[DataFrame
     return base, [one, two]
 
 
-_MERGED = """SELECT b.c_custkey::VARCHAR AS c_custkey, b.c_name AS n0, b.c_mktsegment AS m0, k % 19 <> 0 AS h1, k % 23 <> 0 AS h2,
+_MERGED = """SELECT b.c_custkey, b.c_name AS n0, b.c_mktsegment AS m0, k % 19 <> 0 AS h1, k % 23 <> 0 AS h2,
   CASE WHEN k % 3 = 0 THEN 'one' ELSE b.c_name END AS n1, CASE WHEN k % 11 = 0 THEN 'ONE' ELSE b.c_mktsegment END AS m1,
   CASE WHEN k % 7 = 0 THEN 'two' ELSE b.c_name END AS n2, CASE WHEN k % 5 = 0 THEN 'TWO' ELSE b.c_mktsegment END AS m2
   FROM (SELECT *, c_custkey AS k FROM customer) b"""
 _CELL = """CASE WHEN {c} THEN {x}0 WHEN h1 AND {x}1 <> {x}0 THEN {x}1 WHEN h2 AND {x}2 <> {x}0 THEN {x}2 ELSE {x}0 END"""
 _CLASH = """((h1 AND {x}1 <> {x}0 AND h2 AND {x}2 <> {x}0 AND {x}1 <> {x}2) OR (NOT (h1 AND h2) AND ((h1 AND {x}1 <> {x}0) OR (h2 AND {x}2 <> {x}0))))"""
-_JUDGED = f"""SELECT c_custkey, {_CELL.format(c=_CLASH.format(x="n"), x="n")} AS c_name, {_CELL.format(c=_CLASH.format(x="m"), x="m")} AS c_mktsegment,
+_JUDGED = f"""SELECT c_custkey, n0, m0, n1, m1, n2, m2, h1, h2, {_CELL.format(c=_CLASH.format(x="n"), x="n")} AS c_name, {_CELL.format(c=_CLASH.format(x="m"), x="m")} AS c_mktsegment,
   {_CLASH.format(x="n")} AS cn, {_CLASH.format(x="m")} AS cm, h1 AND h2 AS here,
   NOT (h1 AND h2) AND NOT (h1 AND (n1 <> n0 OR m1 <> m0)) AND NOT (h2 AND (n2 <> n0 OR m2 <> m0)) AS dropped FROM ({_MERGED})"""
 
@@ -376,11 +406,13 @@ def merge_resolved(spark, sf_dir):
 
 
 @query(
-    f"""SELECT c_custkey, c_name, c_mktsegment, concat_ws(',', CASE WHEN cn THEN 'c_name' END, CASE WHEN cm THEN 'c_mktsegment' END) AS unresolved
+    f"""SELECT c_custkey, c_name, c_mktsegment, concat_ws(',', CASE WHEN cn THEN 'c_name' END, CASE WHEN cm THEN 'c_mktsegment' END) AS unresolved,
+    c_custkey || ',' || n0 || ',' || m0 || CASE WHEN h1 THEN ';' || c_custkey || ',' || n1 || ',' || m1 ELSE '' END || CASE WHEN h2 THEN ';' || c_custkey || ',' || n2 || ',' || m2 ELSE '' END AS versions
     FROM ({_JUDGED}) WHERE NOT dropped AND (NOT here OR cn OR cm)"""
 )
 def merge_conflicts(spark, sf_dir):
-    return _merge(spark, sf_dir).conflicts().withColumn("unresolved", F.array_join("unresolved", ",")).drop("versions")
+    lines = F.array_join(F.transform(F.array_compact("versions"), lambda v: F.array_join(v, ",")), ";")
+    return _merge(spark, sf_dir).conflicts().withColumns({"unresolved": F.array_join("unresolved", ","), "versions": lines})
 
 
 @query(f"SELECT count_if(dropped)::BIGINT AS dropped, count_if(NOT dropped AND here AND NOT cn AND NOT cm)::BIGINT AS resolved, count_if(NOT dropped AND (NOT here OR cn OR cm))::BIGINT AS conflicts FROM ({_JUDGED})")
@@ -390,16 +422,16 @@ def merge_summary(spark, sf_dir):
 
 @query(
     f"""SELECT c_custkey, c_name, c_mktsegment FROM ({_JUDGED}) WHERE here AND NOT cn AND NOT cm
-    UNION ALL SELECT c_custkey, 'decided', 'D' FROM ({_JUDGED}) WHERE NOT dropped AND (NOT here OR cn OR cm) AND c_custkey::INT % 2 = 0"""
+    UNION ALL SELECT c_custkey, 'decided', 'D' FROM ({_JUDGED}) WHERE NOT dropped AND (NOT here OR cn OR cm) AND c_custkey % 2 = 0"""
 )
 def merge_manual_resolution(spark, sf_dir):
     m = _merge(spark, sf_dir)
-    decided = m.conflicts().select("c_custkey", F.lit("decided").alias("c_name"), F.lit("D").alias("c_mktsegment"), (F.col("c_custkey").cast("int") % 2 == 1).alias("drop"))
+    decided = m.conflicts().select("c_custkey", F.lit("decided").alias("c_name"), F.lit("D").alias("c_mktsegment"), (F.col("c_custkey") % 2 == 1).alias("drop"))
     return m.result(decided)
 
 
 @query(
-    """SELECT n_nationkey::VARCHAR AS n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'one' ELSE n_name END AS n_name, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'note' || n_nationkey END AS note
+    """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'one' ELSE n_name END AS n_name, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'note' || n_nationkey END AS note
     FROM nation"""
 )
 def merge_added_column(spark, sf_dir):
@@ -409,7 +441,7 @@ def merge_added_column(spark, sf_dir):
     return merge(base, [one, two], ["n_nationkey"]).result()
 
 
-@query("SELECT s_suppkey::VARCHAR AS s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'one' ELSE s_name END AS s_name FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'one' ELSE s_name END AS s_name FROM supplier")
 def merge_removed_column(spark, sf_dir):
     base = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     one = base.withColumn("s_name", F.when(F.col("s_suppkey") % 2 == 0, "one").otherwise(F.col("s_name")))
@@ -417,7 +449,7 @@ def merge_removed_column(spark, sf_dir):
 
 
 @query(
-    """SELECT s_suppkey::VARCHAR AS s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN s_name WHEN s_suppkey % 2 = 0 THEN 'two' WHEN s_suppkey % 3 = 0 THEN 'three' ELSE s_name END AS s_name,
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN s_name WHEN s_suppkey % 2 = 0 THEN 'two' WHEN s_suppkey % 3 = 0 THEN 'three' ELSE s_name END AS s_name,
     CASE WHEN s_suppkey % 6 = 0 THEN 's_name' ELSE '' END AS unresolved FROM supplier"""
 )
 def merge_three_layers(spark, sf_dir):
@@ -427,65 +459,176 @@ def merge_three_layers(spark, sf_dir):
     return rows.select("s_suppkey", "s_name", F.array_join("unresolved", ",").alias("unresolved"))
 
 
-# Commit graph: a history given in line, as (sum, parents, time)
+@query(
+    """SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 1 ELSE c_nationkey END::INT AS c_nationkey,
+    CASE WHEN c_custkey % 4 = 0 THEN c_acctbal + 0.000001 WHEN c_custkey % 4 = 1 THEN NULL WHEN c_custkey % 4 = 2 THEN 1e40 ELSE c_acctbal END::DOUBLE AS c_acctbal, c_mktsegment FROM customer"""
+)
+def merge_typed(spark, sf_dir):
+    base = table(spark, sf_dir, "customer")
+    quarter = F.col("c_custkey") % 4
+    close = F.when(quarter == 0, F.col("c_acctbal") + 0.000001).when(quarter == 1, None).when(quarter == 2, 1e40).otherwise(F.col("c_acctbal"))
+    two = base.withColumn("c_nationkey", F.when(F.col("c_custkey") % 5 == 0, (F.col("c_nationkey") + 1).cast("int")).otherwise(F.col("c_nationkey")))
+    return merge(base, [base.withColumn("c_acctbal", close), two], ["c_custkey"]).result()
+
+
+_ALL_LINES = list(sqltext.LINEITEM)
+_REST = [c for c in _ALL_LINES if c not in ("l_orderkey", "l_linenumber")]
+_WHOLE = f"(SELECT l_orderkey, l_linenumber, {', '.join(f'r[{i}] AS {c}' for i, c in enumerate(_REST, 1))} FROM (SELECT l_orderkey, l_linenumber, min(({', '.join(_REST)})) AS r FROM lineitem GROUP BY ALL))"
+
+
+@query(
+    f"""WITH o AS {_WHOLE}, n AS (SELECT * REPLACE (CASE l_linenumber WHEN 1 THEN l_extendedprice + 0.000001 WHEN 2 THEN 'nan'::DOUBLE WHEN 3 THEN 1e40 WHEN 4 THEN NULL ELSE l_extendedprice END AS l_extendedprice) FROM o)
+    SELECT 'modified' AS status, n.l_orderkey, n.l_linenumber FROM n JOIN o USING (l_orderkey, l_linenumber) WHERE n.l_extendedprice IS DISTINCT FROM o.l_extendedprice"""
+)
+def diff_small_changes(spark, sf_dir):
+    old = ingest.one_per_key(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_REST), ["l_orderkey", "l_linenumber"])
+    line, price = F.col("l_linenumber"), F.col("l_extendedprice")
+    new = old.withColumn("l_extendedprice", F.when(line == 1, price + 0.000001).when(line == 2, float("nan")).when(line == 3, 1e40).when(line == 4, None).otherwise(price))
+    return rowdiff.row_diff(new, old, ["l_orderkey", "l_linenumber"]).drop("sum", "old_sum")
+
+
+# Commit graph: each order is a commit, a customer's orders of one status are a branch that begins at the customer's first order;
+# every seventh merges what the customer had before
+
+
+def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, branches): edges (child, parent), and (customer, segment, status, head) of each branch."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    own = Window.partitionBy("o_custkey", "o_orderstatus").orderBy("o_orderkey")
+    every = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = o.withColumns({"p1": F.coalesce(F.lag("o_orderkey").over(own), F.first("o_orderkey").over(every)), "p2": F.when(F.col("o_orderkey") % 7 == 0, F.lag("o_orderkey").over(every))})
+    edges = o.select(F.col("o_orderkey").alias("child"), F.explode(F.array_compact(F.array("p1", "p2"))).alias("parent")).where("child <> parent").distinct()
+    heads = o.groupBy("o_custkey", "c_mktsegment", "o_orderstatus").agg(F.max("o_orderkey").alias("head"))
+    return edges, heads
+
+
+_HISTORY = """o AS (SELECT *, coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey), min(o_orderkey) OVER (PARTITION BY o_custkey)) AS p1,
+    CASE WHEN o_orderkey % 7 = 0 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS p2 FROM orders JOIN customer ON o_custkey = c_custkey),
+  e AS (SELECT DISTINCT child, parent FROM (SELECT o_orderkey AS child, unnest([p1, p2]) AS parent FROM o) WHERE child <> parent),
+  heads AS (SELECT o_custkey, c_mktsegment, o_orderstatus, max(o_orderkey) AS head FROM o GROUP BY ALL)"""
 
-_EDGES = {"1": [], "2": [], "3": ["1"], "4": ["2"], "5": ["3", "4"], "6": ["3"], "7": ["6", "5"], "8": ["4"]}
-_COMMITS = {s: Commit(s, f"t{s}", tuple(p), float(s)) for s, p in _EDGES.items()}
-_EDGE_SQL = "(VALUES " + ", ".join(f"('{s}', '{p}')" for s, ps in _EDGES.items() for p in ps) + ") AS e(child, parent)"
 
+def _up(**starts: str) -> str:
+    """SQL that begins with the history, and the commits that each of some sets of starts leads to."""
+    walks = (f"{n}(sum) AS (SELECT DISTINCT head FROM ({q}) UNION SELECT e.parent FROM e JOIN {n} ON e.child = {n}.sum)" for n, q in starts.items())
+    return f"WITH RECURSIVE {', '.join([_HISTORY, *walks])} "
 
-def _up(starts: str) -> str:
-    return f"WITH RECURSIVE up(sum) AS (SELECT unnest([{starts}]) UNION SELECT e.parent FROM {_EDGE_SQL} JOIN up ON e.child = up.sum) "
 
+_BUILDING = "SELECT head FROM heads WHERE c_mktsegment = 'BUILDING'"
 
-def _sums(spark: SparkSession, sums) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in sorted(sums)], "sum string")
 
+def _sums(heads: DataFrame) -> DataFrame:
+    return heads.select(F.col("head").alias("sum"))
 
-@query(_up("'7'") + "SELECT sum FROM up")
+
+@query(_up(up=_BUILDING) + "SELECT sum FROM up")
 def commit_ancestors(spark, sf_dir):
-    return _sums(spark, graph.ancestors(_COMMITS, ["7"]))
+    edges, heads = _history(spark, sf_dir)
+    return history.ancestors(edges, _sums(heads.where("c_mktsegment = 'BUILDING'")))
 
 
-@query("SELECT '3' AS sum")
+@query(
+    f"""WITH RECURSIVE {_HISTORY}, pairs AS (SELECT x.head AS a, y.head AS b FROM heads x JOIN heads y ON x.o_custkey = y.o_custkey AND x.o_orderstatus < y.o_orderstatus),
+    up(head, sum) AS (SELECT DISTINCT head, head FROM heads UNION SELECT up.head, e.parent FROM up JOIN e ON e.child = up.sum),
+    common AS (SELECT a, b, x.sum FROM pairs JOIN up x ON x.head = a JOIN up y ON y.head = b AND y.sum = x.sum),
+    inner_ AS (SELECT DISTINCT a, b, e.parent AS sum FROM common JOIN e ON e.child = common.sum)
+    SELECT a, b, max(sum) AS base FROM common ANTI JOIN inner_ USING (a, b, sum) GROUP BY a, b"""
+)
 def commit_merge_base(spark, sf_dir):
-    return _sums(spark, [graph.merge_base(_COMMITS, ["5", "6"])])
+    edges, heads = _history(spark, sf_dir)
+    x, y = heads.alias("x"), heads.alias("y")
+    pairs = x.join(y, F.expr("x.o_custkey = y.o_custkey AND x.o_orderstatus < y.o_orderstatus")).select(F.col("x.head").alias("a"), F.col("y.head").alias("b"))
+    return history.merge_bases(edges, pairs)
 
 
-@query(_up("'6'") + "SELECT s AS sum FROM (SELECT unnest(['1', '2', '3', '4', '5', '6', '7', '8']) AS s) WHERE s NOT IN (SELECT sum FROM up)")
+@query(_up(up=_BUILDING) + "SELECT o_orderkey AS sum FROM o WHERE o_orderkey NOT IN (SELECT sum FROM up)")
 def prune_unreachable(spark, sf_dir):
-    return _sums(spark, graph.unreachable(_COMMITS, {"heads/main": "6"}))
+    edges, heads = _history(spark, sf_dir)
+    commits = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sum"))
+    return history.unreachable(commits, edges, _sums(heads.where("c_mktsegment = 'BUILDING'")))
 
 
-@query(_up("'7'") + f", down(sum) AS (SELECT '3' UNION SELECT e.parent FROM {_EDGE_SQL} JOIN down ON e.child = down.sum) SELECT sum FROM up WHERE sum NOT IN (SELECT sum FROM down)")
+@query(_up(up="SELECT head FROM heads", down="SELECT head FROM heads WHERE o_orderstatus = 'F'") + "SELECT sum FROM up WHERE sum NOT IN (SELECT sum FROM down)")
 def sync_set(spark, sf_dir):
-    return _sums(spark, graph.to_send(_COMMITS, ["7"], ["3"])[0])
+    edges, heads = _history(spark, sf_dir)
+    return history.to_send(edges, _sums(heads), _sums(heads.where("o_orderstatus = 'F'")))
 
 
-_LOG = [("heads/a", 1, "x", "init"), ("heads/a", 2, "y", "commit"), ("heads/b", 1, "x", "branch"), ("tags/v1", 1, "y", "tag"), ("heads/a", 3, "z", "merge")]
+# The store: a branch a nation with a commit for each version, and a tag a region; and stored versions of tables
 
 
-@query(f"SELECT ref, ordinal, newoid FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY ordinal DESC) AS r FROM (VALUES {', '.join(map(str, _LOG))}) AS t(ref, ordinal, newoid, action)) WHERE r = 1")
+def _named_store(spark: SparkSession, sf_dir: str) -> VersionStore:
+    """Commits and refs of the 25 nations and 5 regions; metadata only, in a folder of the driver's."""
+    store = VersionStore(spark, tempfile.mkdtemp())
+    for n in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():  # the store's metadata is the driver's
+        for i in range(1 + n["n_nationkey"] % 3):
+            commit = store.add_commit(f"t{i}", [], f"version {i}", at=float(i), zone="+0000")
+            store.set_ref(f"heads/{n['n_name']}", commit, "branch" if i == 0 else "commit")
+    for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        store.set_ref(f"tags/{r['r_name']}", store.add_commit("t0", [], "version 0", at=0.0, zone="+0000"), "tag")
+    return store
+
+
+@query(
+    """SELECT 'heads/' || n_name AS ref, (1 + n_nationkey % 3)::INT AS ordinal, CASE WHEN n_nationkey % 3 = 0 THEN 'branch' ELSE 'commit' END AS action FROM nation
+    UNION ALL SELECT 'tags/' || r_name, 1, 'tag' FROM region"""
+)
 def reflog_latest(spark, sf_dir):
-    return spark.createDataFrame(_LOG, "ref string, ordinal int, newoid string, action string").groupBy("ref").agg(F.max("ordinal").alias("ordinal"), F.max_by("newoid", "ordinal").alias("newoid"))
+    return _named_store(spark, sf_dir).latest().drop("new")
 
 
-@query(f"SELECT DISTINCT ref FROM (VALUES {', '.join(map(str, _LOG))}) AS t(ref, ordinal, newoid, action) WHERE ref LIKE 'heads/%' AND ref NOT LIKE 'heads/b%'")
+@query("SELECT 'heads/' || n_name AS ref FROM nation WHERE n_name NOT LIKE 'NATION_1%'")
 def refs_filter(spark, sf_dir):
-    return spark.createDataFrame(_LOG, "ref string, ordinal int, newoid string, action string").where("ref LIKE 'heads/%' AND ref NOT LIKE 'heads/b%'").select("ref").distinct()
+    return spark.createDataFrame([(r,) for r in _named_store(spark, sf_dir).refs_like("heads/", but_not="heads/NATION_1")], "ref string")
 
 
 @query(
-    """SELECT lang AS kind, count(*) AS objects, min(strlen(text))::BIGINT AS least, max(strlen(text))::BIGINT AS most, sum(strlen(text))::BIGINT AS bytes,
-    CASE WHEN max(strlen(text)) >= 1024 THEN 'KiB' ELSE 'B' END AS unit FROM documents GROUP BY lang"""
+    """WITH refs AS (SELECT length('heads/' || n_name) AS n FROM nation UNION ALL SELECT length('tags/' || r_name) FROM region)
+    SELECT 'refs' AS kind, count(*) AS objects, avg(n) AS mean_key_size, median(n)::DOUBLE AS median_key_size, stddev_pop(n) AS std_key_size, 34::DOUBLE AS mean_value_size FROM refs"""
 )
 def object_size_stats(spark, sf_dir):
-    size = F.octet_length("text").cast("long")
-    out = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("kind")).agg(F.count("*").alias("objects"), F.min(size).alias("least"), F.max(size).alias("most"), F.sum(size).alias("bytes"))
-    return out.withColumn("unit", F.element_at(F.split(readable_size(F.col("most")), " "), 2))
+    return object_sizes(_named_store(spark, sf_dir)).where("kind = 'refs'").select("kind", "objects", "mean_key_size", "median_key_size", "std_key_size", "mean_value_size")
+
+
+@query(
+    """SELECT size, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN format('{:.2f} KiB', size / 1024) ELSE format('{:.2f} MiB', size / 1048576) END AS readable
+    FROM (SELECT lang, sum(strlen(text))::BIGINT AS size FROM documents GROUP BY lang UNION ALL SELECT source, max(strlen(text))::BIGINT FROM documents GROUP BY source)"""
+)
+def readable_sizes(spark, sf_dir):
+    d, size = table(spark, sf_dir, "documents"), F.octet_length("text").cast("long")
+    sizes = d.groupBy("lang").agg(F.sum(size).alias("size")).select("size").unionAll(d.groupBy("source").agg(F.max(size).alias("size")).select("size"))
+    return sizes.withColumn("readable", F.regexp_replace(readable_size(F.col("size")), ",", ""))
+
+
+def _stored_orders(spark: SparkSession, sf_dir: str) -> tuple[VersionStore, str, str]:
+    """A store with both versions of orders, in the shared folder, and their sums."""
+    folder = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    store = VersionStore(spark, folder, tempfile.mkdtemp())
+    new, old = orders_pair(spark, sf_dir)
+    return store, store.save(new, ["o_orderkey"]), store.save(old, ["o_orderkey"])
+
+
+@query(f"""SELECT block, count(*) AS rows, md5(string_agg(s, '' ORDER BY "row")) AS "sum" FROM (
+    SELECT *, "row" // 255 AS block, {sqltext.row_sum(sqltext.ORDERS)} AS s FROM ({_PLACED.format("o_orderkey", ORDERS_NEW)})) GROUP BY block""")
+def stored_block_index(spark, sf_dir):
+    store, new, _ = _stored_orders(spark, sf_dir)
+    return store.block_index(new)
+
+
+@query(f"""SELECT o_orderkey, "row", "row" // 255 AS block, "row" % 255 AS "offset" FROM ({_PLACED.format("o_orderkey", ORDERS_NEW)}) WHERE "row" // 255 BETWEEN 3 AND 5""")
+def stored_blocks(spark, sf_dir):
+    store, new, _ = _stored_orders(spark, sf_dir)
+    return store.blocks(new, 3, 6).select("o_orderkey", "row", "block", "offset")
+
+
+@query(
+    f"""SELECT n."row" AS new_row, o."row" AS old_row FROM (SELECT *, {sqltext.row_sum(sqltext.ORDERS)} AS s FROM ({_PLACED.format("o_orderkey", ORDERS_NEW)})) n
+    FULL JOIN (SELECT *, {sqltext.row_sum(sqltext.ORDERS)} AS s FROM ({_PLACED.format("o_orderkey", ORDERS_OLD)})) o ON n.o_orderkey = o.o_orderkey WHERE n.s IS DISTINCT FROM o.s"""
+)
+def stored_diff_offsets(spark, sf_dir):
+    return (s := _stored_orders(spark, sf_dir))[0].diff_offsets(*s[1:])
 
 
-@query(f"SELECT p_partkey, {sqltext.text('p_retailprice', 'd')} AS p_retailprice, {sqltext.text('p_name', 's')} AS p_name FROM part WHERE p_partkey % 2 = 0")
+@query(f"SELECT {', '.join(f'{sqltext.text(c, k)} AS {c}' for c, k in sqltext.PART.items())} FROM part")
 def canonical_cells(spark, sf_dir):
-    t = four_digits(table(spark, sf_dir, "part")).where("p_partkey % 2 = 0")
-    return t.select("p_partkey", *(text_of(F.col(c), t.schema[c].dataType).alias(c) for c in ("p_retailprice", "p_name")))
+    return canonical(four_digits(table(spark, sf_dir, "part")))

@@ -17,6 +17,7 @@ class Commit:
     author: str = ""
     email: str = ""
     message: str = ""
+    zone: str = "+0000"
 
 
 def ancestors(commits: Mapping[str, Commit], starts: Iterable[str]) -> set[str]:
@@ -90,10 +91,17 @@ def to_send(commits: Mapping[str, Commit], wants: Iterable[str], haves: Iterable
                 steps[p] = steps[at] + 1
                 queue.append(p)
     tables = {commits[c].table for c in missing if depth is None or steps[c] <= depth} - {commits[c].table for c in known}
-    return _parents_first(commits, missing), tables
+    return parents_first(commits, missing), tables
 
 
-def _parents_first(commits: Mapping[str, Commit], some: set[str]) -> list[str]:
+def without_ancestors(commits: Mapping[str, Commit], queue: Iterable[str], of: Iterable[str]) -> list[str]:
+    """A queue without the commits that ``of`` lead to."""
+    known = ancestors(commits, of)
+    return [s for s in queue if s not in known]
+
+
+def parents_first(commits: Mapping[str, Commit], some: set[str]) -> list[str]:
+    """Each of some commits once, behind all its parents among them."""
     out: list[str] = []
     done: set[str] = set()
     for start in sorted(some):

@@ -11,6 +11,11 @@ PART = {"p_partkey": "i", "p_name": "s", "p_brand": "s", "p_type": "s", "p_size"
 NATION = {"n_nationkey": "i", "n_name": "s", "n_regionkey": "i"}
 EVENTS = {"event_id": "i", "ts": "t", "user_id": "i", "event_type": "s", "value": "d", "props": "s"}
 
+LINEITEM = {
+    "l_orderkey": "i", "l_partkey": "i", "l_suppkey": "i", "l_linenumber": "i", "l_quantity": "d", "l_extendedprice": "d",
+    "l_discount": "d", "l_tax": "d", "l_returnflag": "s", "l_linestatus": "s", "l_shipdate": "t",
+}
+
 
 def text(column: str, kind: str) -> str:
     return f"coalesce({f'{column}::DECIMAL(38,4)' if kind == 'd' else column}::VARCHAR, '')"
