@@ -6,9 +6,6 @@ from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 
 def inserted(names: list[str], more: Sequence[str]) -> list[str]:
     """``names`` with the unknown ones of ``more``, each behind the known or new one that it follows there."""
@@ -78,8 +75,3 @@ def _moves(base: Sequence[str], layer: Sequence[str], names: list[str]) -> dict[
             before = bisect_left(anchors, (places[i], -1))
             out[names.index(c)] = (-1, anchors[before - 1][1]) if before else (anchors[0][1], -1)
     return out
-
-
-def aligned(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The rows of a version in the union layout; columns that it lacks are ''."""
-    return df.select(*(F.col(f"`{c}`") if c in df.columns else F.lit("").alias(c) for c in names))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import csv
+import sys
+import uuid
 from collections.abc import Sequence
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..operators import ingest
+
 
 def named(header: Sequence[str]) -> list[str]:
     """The header with empty names replaced by unnamed__1, unnamed__2, ..., passing over names in use."""
@@ -35,6 +40,25 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     return rows.na.fill("").toDF(*header)
 
 
+def read_stdin(spark: SparkSession, folder: str, delimiter: str = ",", stream: BinaryIO | None = None) -> DataFrame:
+    """A CSV table from standard input, or another stream, by way of a file in ``folder``, which all executors must reach."""
+    path = f"{folder.rstrip('/')}/stdin-{uuid.uuid4().hex}.csv"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        while chunk := (stream or sys.stdin.buffer).read(1 << 20):
+            out.write(bytearray(chunk))
+    finally:
+        out.close()
+    return read_csv(spark, path, delimiter)
+
+
+def preview(spark: SparkSession, path: str, pk: Sequence[str] = (), delimiter: str = ",") -> DataFrame:
+    """A CSV file as a version would hold it, one row a key with its row number, without storing it."""
+    rows = ingest.one_per_key(read_csv(spark, path, delimiter), pk)
+    return ingest.numbered(rows, list(pk) or rows.columns)
+
+
 def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> None:
     """The rows in their order, with a header; quotes are doubled."""
     df.write.mode("overwrite").csv(path, header=True, sep=delimiter, quote='"', escape='"', emptyValue="", nullValue="")
