@@ -1,6 +1,5 @@
 """Each operator against a plain version, on texts that have every awkward case."""
 
-import hashlib
 import itertools
 import re
 import time
