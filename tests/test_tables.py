@@ -280,7 +280,7 @@ def test_row_sums_follow_cells_and_order(spark):
 
 def test_history(spark):
     r = random.Random(2)
-    parents = {i: sorted({r.randint(max(0, i - 6), i - 1) for _ in range(r.choice([1, 1, 2]))}) if i and r.random() < 0.93 else [] for i in range(60)}
+    parents = {i: sorted({r.randint(max(0, i - 20), max(0, i - 5)) for _ in range(r.choice([1, 1, 2]))}) if i > 4 and r.random() < 0.93 else [] for i in range(60)}
     up = defaultdict(set)
     for i in range(60):
         up[i] = {i}.union(*(up[p] for p in parents[i]))
