@@ -17,6 +17,7 @@ from ..functions.canon import canonical, four_digits, parsed, readable_size, row
 from ..functions.lineage import shared_folder
 from ..operators import history, ingest, profile, rowdiff
 from ..operators.merge import Merge, merge
+from ..streaming.commits import change_counts
 from . import sqltext
 from .versions import VersionStore, object_sizes
 
@@ -373,6 +374,14 @@ def profile_diff_table(spark, sf_dir):
     return profile.table_diff(*profiles).select("column", "status", "new_rows", "old_rows")
 
 
+# Streams: the counts that a stream makes, over the table that it would bring
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS rows FROM events GROUP BY ALL")
+def change_counts_by_hour(spark, sf_dir):
+    return change_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
 # Merges: layers of customer that change, remove and add rows by rules on the key
 
 
