@@ -613,6 +613,8 @@ def _stored_orders(spark: SparkSession, sf_dir: str) -> tuple[VersionStore, str,
     """A store with both versions of orders, in the shared folder, and their sums."""
     folder = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
     store = VersionStore(spark, folder, tempfile.mkdtemp())
+    fs, at = store._fs(folder)
+    fs.deleteOnExit(at)
     new, old = orders_pair(spark, sf_dir)
     return store, store.save(new, ["o_orderkey"]), store.save(old, ["o_orderkey"])
 

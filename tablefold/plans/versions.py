@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canon import row_sum
-from ..functions.lineage import checkpointed
 from ..operators import ingest, profile, rowdiff
 from ..operators.merge import Merge, merge
 from ..sources import csvio
@@ -105,13 +104,14 @@ class VersionStore:
 
         Data is written beside its place and moved there whole.
         """
-        rows = checkpointed(ingest.one_per_key(df, pk))
+        placed = indexed(ingest.one_per_key(df, pk), pk)
+        rows = placed.select(*(F.col(f"`{c}`") for c in df.columns))
         name = ingest.table_sum(rows, pk)
         if replace or name not in self.tables:
             beside = f"{self._path(name)}.{uuid.uuid4().hex}"
-            indexed(rows, pk).write.parquet(beside)
+            placed.write.parquet(beside)
             self._move(beside, self._path(name))
-            self._put("tables", name, {"columns": rows.columns, "pk": list(pk), "rows": rows.count()})
+            self._put("tables", name, {"columns": rows.columns, "pk": list(pk), "rows": placed.count()})
         return name
 
     def _move(self, beside: str, path: str) -> None:
