@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_rules, source_mixing
+from . import license_scan, quality_rules, secret_scan, source_mixing
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -106,6 +106,42 @@ FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN more ON more.doc_id =
 """
 
 
+def secret_scan_sql(scope: int = 200) -> str:
+    """Every match by its place, parts linked by a plain comparison of all parts of a text.
+
+    DuckDB's patterns have no look-around: an address is a whole run of digits and
+    dots, and its port is read behind it.
+    """
+    kinds = secret_scan.STRONG | secret_scan.WEAK
+    runs = kinds["endpoint"][0].split("|(?<!")[0] + "|[0-9.]+"
+    found = []
+    for rank, (kind, (pattern, group, least)) in enumerate(kinds.items()):
+        pattern = (runs if kind == "endpoint" else pattern).replace("'", "''")
+        holds = "".join(f" AND regexp_matches(hit, '{x}')" for x in secret_scan.HOLDS.get(kind, ()))
+        address = " AND (hit LIKE '%://%' OR regexp_full_match(hit, '([0-9]{1,3}[.]){3}[0-9]{1,3}'))" if kind == "endpoint" else ""
+        port = "CASE WHEN hit LIKE '%://%' THEN 0 ELSE length(regexp_extract(substr(text, e + 1, 6), '^:[0-9]{2,5}')) END" if kind == "endpoint" else "0"
+        found.append(f"""SELECT doc_id, {rank} AS r, '{kind}' AS kind, s, e + {port} AS e FROM (
+      SELECT doc_id, text, hit, part, (sum(length(gap) + length(hit)) OVER w - length(hit))::BIGINT AS s, (sum(length(gap) + length(hit)) OVER w)::BIGINT AS e
+      FROM (SELECT doc_id, text, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(parts) AS part, unnest(gaps[1:len(hits)]) AS gap
+            FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS hits, regexp_extract_all(text, '{pattern}', {group}) AS parts, string_split_regex(text, '{pattern}') AS gaps FROM t))
+      WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE length(part) >= {least}{holds}{address}""")
+    secrets = ", ".join(f"'{k}'" for k in secret_scan.SECRETS)
+    joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r)"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+spans AS MATERIALIZED ({" UNION ALL ".join(found)}),
+linked AS (SELECT a.* FROM spans a WHERE a.r >= {len(secret_scan.STRONG)} AND EXISTS (
+  SELECT 1 FROM spans b WHERE b.doc_id = a.doc_id AND (a.kind IN ({secrets})) <> (b.kind IN ({secrets}))
+  AND greatest(a.s, b.s) - least(a.e, b.e) BETWEEN 0 AND {scope})),
+base AS (SELECT doc_id, count(*) FILTER (r = 0) AS n_assign, count(*) FILTER (r = 1) AS n_access, count(*) FILTER (r = 2) AS n_hex, {joined} AS b
+         FROM spans WHERE r < {len(secret_scan.STRONG)} GROUP BY doc_id),
+every AS (SELECT doc_id, {joined} AS x FROM (SELECT * FROM spans WHERE r < {len(secret_scan.STRONG)} UNION ALL SELECT * FROM linked) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(x, '') AS spans
+FROM t LEFT JOIN base ON base.doc_id = t.doc_id LEFT JOIN every ON every.doc_id = t.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_source_mixing": source_mixing.ORACLE_SQL,
@@ -113,4 +149,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_scan": license_scan_sql(),
         "op5_substring_dedup": SUBSTRING_DEDUP,
         "op7_ngram_join": NGRAM_JOIN,
+        "op10_secret_scan": secret_scan_sql(),
     }
