@@ -138,22 +138,23 @@ def top_values(counts: DataFrame, stats: DataFrame, top: int = TOP) -> DataFrame
 
 
 def counted(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Value counts, written once for the several figures that are made of them, and their basic figures."""
+    """Value counts, written once for the several figures that are made of them, and their basic figures (a row a column)."""
     counts = checkpointed(value_counts(df, columns))
-    return counts, basic_stats(counts)
+    return counts, checkpointed(basic_stats(counts))
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row a column, with the figures of its values, top values and percentiles."""
+    """One row a column, with the figures of its values, top values and percentiles; made at once, to be compared and read again."""
     counts, stats = counted(df, columns)
     top = top_values(counts, stats).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("t"))
     top = top.select("column", F.transform("t", lambda x: F.struct(x["value"].alias("v"), x["count"].alias("c"))).alias("top_values"))
-    return (
+    whole = (
         stats.join(deviations(counts, stats), "column", "left")
         .join(percentiles(counts, stats), "column", "left")
         .join(top, "column", "left")
         .select("column", "rows", "na_count", "min", "max", "mean", "median", "std_deviation", "min_str_len", "max_str_len", "avg_str_len", "top_values", "percentiles")
     )
+    return checkpointed(whole)
 
 
 SCALARS = ["na_count", "min", "max", "mean", "median", "std_deviation", "min_str_len", "max_str_len", "avg_str_len"]
