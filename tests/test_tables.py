@@ -298,6 +298,14 @@ def test_history(spark):
         assert got[a, b] == max(best, default=None)
 
 
+def test_long_history_is_sent_by_one_join(spark):
+    edges = spark.range(1, 31).selectExpr("id AS child", "id - 1 AS parent")
+    sums = lambda *x: spark.createDataFrame([(i,) for i in x], "sum long")
+    sent = history.to_send(edges, sums(30), sums(20))
+    assert sorted(x.sum for x in sent.collect()) == list(range(21, 31))
+    assert sent._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # not one a step, each with all that is held
+
+
 # Sources
 
 
