@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``checkpointed``, in Parquet, which is read by column and several times as fast; kept until the application ends."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder."""
     sc = spark.sparkContext

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import checkpointed
+from ..functions.lineage import written
 
 
 def _placed(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -29,12 +29,12 @@ def _placed(edges: DataFrame, starts: DataFrame) -> DataFrame:
     every = edges.select(F.col("child").alias("sum")).unionAll(edges.select("parent")).unionAll(starts.select("sum")).withColumn("next", F.lit(None))
     linked = links.unionAll(every).groupBy("sum").agg(F.max("next").alias("next"))
     first = F.col("next").isNull()
-    new = checkpointed(linked.select("sum", "next", F.coalesce("next", "sum").alias("chain"), F.when(first, 0).otherwise(1).cast("long").alias("place"), first.alias("done")))
+    new = written(linked.select("sum", "next", F.coalesce("next", "sum").alias("chain"), F.when(first, 0).otherwise(1).cast("long").alias("place"), first.alias("done")))
     commits, length = new.count(), 1
     done, new = new.where("done"), new.where("NOT done")
     while length <= commits and not new.isEmpty():  # what is new is `length` steps above `chain`, and this not the first
         at = done.unionAll(new).select(F.col("sum").alias("chain"), F.col("chain").alias("far"), F.col("place").alias("more"), F.col("done").alias("there"))
-        further = checkpointed(new.join(at, "chain").select("sum", "next", F.col("far").alias("chain"), (F.col("place") + F.col("more")).alias("place"), F.col("there").alias("done")))
+        further = written(new.join(at, "chain").select("sum", "next", F.col("far").alias("chain"), (F.col("place") + F.col("more")).alias("place"), F.col("there").alias("done")))
         done, new, length = done.unionAll(further.where("done")), further.where("NOT done"), 2 * length
     circles = new.select("sum", F.lit(None).alias("next"), F.col("sum").alias("chain"), F.lit(0).cast("long").alias("place"))
     return done.select("sum", "next", "chain", "place").unionAll(circles)
@@ -43,17 +43,17 @@ def _placed(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def _walked(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(placed, across, tops): the commits in their chains; edges (chain, below, to, to_place) that leave a chain
     at place ``below``; and (start, chain, top), the highest place of each chain that each start leads to."""
-    edges = checkpointed(edges.select("child", "parent").distinct())
-    starts = checkpointed(starts.select("start", "sum").distinct())
-    placed = checkpointed(_placed(edges, starts))
+    edges = written(edges.select("child", "parent").distinct())
+    starts = written(starts.select("start", "sum").distinct())
+    placed = written(_placed(edges, starts))
     left = edges.join(placed, edges["child"] == placed["sum"]).where("NOT parent <=> next").select("parent", "chain", F.col("place").alias("below"))
     to = placed.select(F.col("sum").alias("parent"), F.col("chain").alias("to"), F.col("place").alias("to_place"))
-    across = checkpointed(left.join(to, "parent").where("chain <> to OR below <= to_place").select("chain", "below", "to", "to_place"))
-    tops = checkpointed(starts.join(placed, "sum").groupBy("start", "chain").agg(F.max("place").alias("top")).withColumn("before", F.lit(-1).cast("long")))
+    across = written(left.join(to, "parent").where("chain <> to OR below <= to_place").select("chain", "below", "to", "to_place"))
+    tops = written(starts.join(placed, "sum").groupBy("start", "chain").agg(F.max("place").alias("top")).withColumn("before", F.lit(-1).cast("long")))
     while not (new := tops.where("before < top")).isEmpty():
         met = new.join(across, "chain").where("before < below AND below <= top").groupBy("start", F.col("to").alias("chain")).agg(F.max("to_place").alias("met"))
         both = tops.drop("before").join(met, ["start", "chain"], "full_outer")
-        tops = checkpointed(both.select("start", "chain", F.greatest("top", "met").alias("top"), F.coalesce("top", F.lit(-1)).alias("before")))
+        tops = written(both.select("start", "chain", F.greatest("top", "met").alias("top"), F.coalesce("top", F.lit(-1)).alias("before")))
     return placed, across, tops.drop("before")
 
 
@@ -83,11 +83,15 @@ def to_send(edges: DataFrame, wants: DataFrame, haves: DataFrame) -> DataFrame:
 
 
 def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, base): for each pair the greatest of the common ancestors that no other common one descends from; null if there is none."""
-    heads = pairs.select(F.col("a").alias("h")).unionAll(pairs.select("b")).distinct()
-    reached = reach(edges, heads.select(F.col("h").alias("start"), F.col("h").alias("sum")))
-    one, two = reached.select(F.col("start").alias("a"), "sum"), reached.select(F.col("start").alias("b"), "sum")
-    common = checkpointed(pairs.select("a", "b").distinct().join(one, "a").join(two, ["b", "sum"]).select("a", "b", "sum"))
-    inner = common.join(edges, common["sum"] == edges["child"]).select("a", "b", F.col("parent").alias("sum"))
-    best = common.join(inner, ["a", "b", "sum"], "left_anti").groupBy("a", "b").agg(F.max("sum").alias("base"))
-    return pairs.select("a", "b").distinct().join(best, ["a", "b"], "left")
+    """(a, b, base): for each pair the greatest of the common ancestors that no other common one descends from; null if there is none.
+
+    Only a chain's highest common commit can be one, unless a common commit of another chain leads to it.
+    """
+    pairs = written(pairs.select("a", "b").distinct())
+    heads = pairs.select(F.col("a").alias("h")).unionAll(pairs.select("b"))
+    placed, across, tops = _walked(edges, heads.select(F.col("h").alias("start"), F.col("h").alias("sum")))
+    one, two = tops.select(F.col("start").alias("a"), "chain", F.col("top").alias("one")), tops.select(F.col("start").alias("b"), "chain", F.col("top").alias("two"))
+    common = written(pairs.join(one, "a").join(two, ["b", "chain"]).select("a", "b", "chain", F.least("one", "two").alias("place")))
+    inner = common.join(across, "chain").where("below <= place").groupBy("a", "b", F.col("to").alias("chain")).agg(F.max("to_place").alias("place"))
+    best = common.join(inner, ["a", "b", "chain", "place"], "left_anti").join(placed, ["chain", "place"]).groupBy("a", "b").agg(F.max("sum").alias("base"))
+    return pairs.join(best, ["a", "b"], "left")

@@ -306,6 +306,30 @@ def test_long_history_is_sent_by_one_join(spark):
     assert sent._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # not one a step, each with all that is held
 
 
+def test_long_history_takes_few_rounds(spark):
+    up = {i: {*range(i % 2, i + 1, 2), *(j for m in range(i % 2, i + 1, 2) if m % 11 == 0 for j in range(m))} for i in range(60)}
+    edges = spark.range(60).selectExpr("id AS child", "explode(array(id - 2, if(id % 11 = 0, id - 1, -1))) AS parent").where("parent >= 0")
+    sc = spark.sparkContext
+    sc.setJobGroup("rounds", "")
+    got = history.merge_bases(edges, spark.createDataFrame([(59, 58), (7, 40), (1, 2)], "a long, b long")).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("rounds"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {(x.a, x.b): x.base for x in got} == {(a, b): max(up[a] & up[b], default=None) for a, b in [(59, 58), (7, 40), (1, 2)]}
+    assert jobs < 90, jobs  # 30 steps a branch
+
+
+def test_history_in_circles(spark):
+    r = random.Random(5)
+    pairs = [(f"c{i}", f"c{r.randrange(25)}") for i in range(25) for _ in range(r.choice([0, 1, 2]))] + [("x", "y"), ("y", "z"), ("z", "x"), ("z", "z")]
+    up = {s: {s} for s in [*(f"c{i}" for i in range(25)), *"xyz", "alone"]}
+    for _ in up:
+        for child, parent in pairs:
+            up[child] |= up[parent]
+    edges = spark.createDataFrame(pairs, "child string, parent string")
+    got = history.reach(edges, spark.createDataFrame([(s, s) for s in up], "start string, sum string"))
+    assert sorted(map(tuple, got.collect())) == sorted((s, t) for s in up for t in up[s])
+
+
 # Sources
 
 
